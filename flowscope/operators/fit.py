@@ -16,6 +16,7 @@ from flowscope.operators import assign as A
 from flowscope.operators import quality as Q
 from flowscope.operators import sample as P
 from flowscope.operators.index import running_sums
+from flowscope.session import spread
 
 
 def with_vector(df: DataFrame, features: str = "features", name: str = "_vec") -> DataFrame:
@@ -32,7 +33,7 @@ def kmeans(
     df: DataFrame, k: int, restarts: int = 10, max_iter: int = 300, seed: int = 42, features: str = "features", cluster: str = "cluster"
 ) -> tuple[DataFrame, np.ndarray, float]:
     """Best of ``restarts`` K-means runs by cost: (labelled table, centroids, cost)."""
-    vectors = with_vector(df, features).persist()
+    vectors = spread(with_vector(df.select(quoted(features)), features)).persist()
     try:
         best = None
         for run in range(restarts):
@@ -130,20 +131,14 @@ def kmedoids(
 
     The samples only propose medoids. The choice and the labels use every row.
     """
-    data = df.select(*[quoted(i) for i in ids], quoted(features).alias("x")).persist()
+    data = spread(df.select(*[quoted(i) for i in ids], quoted(features).alias("x"))).persist()
     try:
-        n = data.count()
-        share = min(1.0, 1.5 * sample_size / max(n, 1))
-        picks = F.filter(
-            F.array(*[F.struct(F.lit(s).alias("s"), P.hash_key(ids, seed + s).alias("h")) for s in range(samples)]),
-            lambda d: d["h"] < int(share * P.HASH_RANGE),
-        )
-        drawn = data.select(F.explode(picks).alias("d"), "x").select("d.s", "d.h", "x")
+        drawn = P.hash_picks(data, ids, samples, sample_size, seed).select("draw", "h", "x")
 
         def solve(frame: pd.DataFrame) -> pd.DataFrame:
             held = frame.sort_values("h").head(sample_size)
             x = np.array(held["x"].tolist(), dtype=float)
-            s = int(frame["s"].iloc[0])
+            s = int(frame["draw"].iloc[0])
             out = []
             if len(x) >= k:
                 for kind in (True, False):
@@ -151,7 +146,7 @@ def kmedoids(
                     out.append((2 * s + int(kind), found.tolist()))
             return pd.DataFrame(out, columns=["set", "medoids"])
 
-        sets = drawn.groupBy("s").applyInPandas(solve, "set int, medoids array<array<double>>")
+        sets = drawn.groupBy("draw").applyInPandas(solve, "set int, medoids array<array<double>>")
         found = sorted(sets.collect(), key=lambda r: r["set"])
         if not found:
             raise ValueError("fewer rows than clusters")
@@ -192,7 +187,7 @@ def sweep(
     df: DataFrame, ks: Sequence[int], restarts: int = 1, seed: int = 42, features: str = "features"
 ) -> pd.DataFrame:
     """Metrics of a K-means for every ``k``; the largest silhouette is marked ``best``."""
-    data = df.select(quoted(features).alias("features")).persist()
+    data = spread(df.select(quoted(features).alias("features"))).persist()
     try:
         rows = []
         for k in ks:
@@ -210,7 +205,7 @@ def sweep(
 
 def compare(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> pd.DataFrame:
     """Metrics of K-means, the hierarchy and the mixture side by side."""
-    data = df.select(quoted(features).alias("features")).persist()
+    data = spread(df.select(quoted(features).alias("features"))).persist()
     try:
         labelled = {
             "kmeans": kmeans(data, k, 1, seed=seed)[0],

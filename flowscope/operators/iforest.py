@@ -17,6 +17,7 @@ from flowscope.functions.columns import quoted
 from flowscope.operators import sample as P
 from flowscope.operators.assign import matrix_of
 from flowscope.operators.stats import exact_quantiles
+from flowscope.session import cut_lineage
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
@@ -96,24 +97,18 @@ def fit_forest(
     df: DataFrame, ids: Sequence[str], trees: int = 100, sample_size: int = 256, seed: int = 42, features: str = "features"
 ) -> Forest:
     """Draw ``sample_size`` rows per tree by hash rank and grow each tree in its own group."""
-    n = df.count()
-    size = min(sample_size, n)
-    share = min(1.0, 1.5 * sample_size / max(n, 1))
-    base = F.xxhash64(*[quoted(i) for i in ids], F.lit(seed))
-    picks = F.filter(
-        F.array(*[F.struct(F.lit(t).alias("t"), F.pmod(F.xxhash64(base, F.lit(t)), F.lit(P.HASH_RANGE)).alias("h")) for t in range(trees)]),
-        lambda d: d["h"] < int(share * P.HASH_RANGE),
-    )
-    drawn = df.select(F.explode(picks).alias("d"), quoted(features).alias("x")).select("d.t", "d.h", "x")
+    rows = df.select(*[quoted(i) for i in ids], quoted(features).alias("x"))
+    drawn = P.hash_picks(rows, ids, trees, sample_size, seed).select("draw", "h", "x")
+    size = min(sample_size, df.count())
     limit = max(1, math.ceil(math.log2(max(size, 2))))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         held = frame.sort_values("h").head(sample_size)
-        t = int(frame["t"].iloc[0])
+        t = int(frame["draw"].iloc[0])
         nodes = _grow(np.array(held["x"].tolist(), dtype=float), np.random.default_rng(seed + t), limit)
         return pd.DataFrame([(t, *nodes)], columns=["tree", "feature", "cut", "left", "right", "path"])
 
-    rows = sorted(drawn.groupBy("t").applyInPandas(grow, TREE_SCHEMA).collect(), key=lambda r: r["tree"])
+    grown = sorted(drawn.groupBy("draw").applyInPandas(grow, TREE_SCHEMA).collect(), key=lambda r: r["tree"])
     built = [
         (
             np.array(r["feature"], dtype=np.int64),
@@ -122,7 +117,7 @@ def fit_forest(
             np.array(r["right"], dtype=np.int64),
             np.array(r["path"]),
         )
-        for r in rows
+        for r in grown
     ]
     return Forest(built, average_path(size), limit)
 
@@ -131,7 +126,8 @@ def flag_outliers(
     df: DataFrame, ids: Sequence[str], contamination: float, trees: int = 100, sample_size: int = 256, seed: int = 42, features: str = "features"
 ) -> DataFrame:
     """Add ``anomaly`` and ``is_outlier``: scores above the ``1 - contamination`` quantile."""
-    scored = fit_forest(df, ids, trees, sample_size, seed, features).score(df, features)
+    # Written once: the quantile takes several passes and scoring is the costly part.
+    scored = cut_lineage(fit_forest(df, ids, trees, sample_size, seed, features).score(df, features))
     cut = exact_quantiles(scored.select("anomaly"), ["anomaly"], [1.0 - contamination])["anomaly"][0]
     return scored.withColumn("is_outlier", F.col("anomaly") > F.lit(cut))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowscope.functions.columns import quoted
+from flowscope.functions.columns import any_of, quoted
 from flowscope.operators.index import checked_broadcast, single_row
 
 HASH_RANGE = 1 << 40
@@ -93,15 +93,13 @@ def stratified_sample(
 def bagged_sample(
     df: DataFrame, label: str, fraction: float, bags: int, ids: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """Union of ``bags`` stratified samples with different seeds; a row drawn twice counts once.
+    """Distinct union of ``bags`` samples with different seeds, each stratified by ``label``.
 
-    ``ids`` identify a row, so being drawn by any bag is a row-wise OR and nothing is deduplicated
-    by shuffle.
+    ``ids`` identify a row, so "drawn by any bag" is an OR per row and nothing is deduplicated by
+    shuffle. Every row of a label is drawn with the same chance, so labels keep their shares.
     """
-    drawn = F.lit(False)
-    for bag in range(bags):
-        drawn = drawn | (uniform([*ids, label], seed + bag) < fraction)
-    return df.filter(drawn)
+    drawn = [uniform([*ids, label], seed + bag) < fraction for bag in range(bags)]
+    return df.filter(any_of(drawn))
 
 
 def sampling_ratio(sampled: DataFrame, original: DataFrame) -> DataFrame:
@@ -132,8 +130,11 @@ def stratified_size(
     return flagged.filter("selected").drop("selected")
 
 
-def simple_sample(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    return df.filter(uniform(ids, seed) < fraction)
+def simple_sample(
+    df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42, draw: Column | None = None
+) -> DataFrame:
+    """A repeatable share of the rows; ``draw`` replaces the hash by another number in [0, 1)."""
+    return df.filter((uniform(ids, seed) if draw is None else draw) < fraction)
 
 
 def stratified_split(
@@ -153,43 +154,57 @@ def stratified_split(
 
 
 def plain_split(
-    df: DataFrame, test_fraction: float, ids: Sequence[str], seed: int = 42, name: str = "is_test"
+    df: DataFrame,
+    test_fraction: float,
+    ids: Sequence[str],
+    seed: int = 42,
+    draw: Column | None = None,
+    name: str = "is_test",
 ) -> DataFrame:
     """Flag about ``test_fraction`` of the rows, row by row."""
-    return df.withColumn(name, uniform(ids, seed) < test_fraction)
+    return df.withColumn(name, (uniform(ids, seed) if draw is None else draw) < test_fraction)
 
 
-def fold_ids(df: DataFrame, folds: int, ids: Sequence[str], seed: int = 42, name: str = "fold") -> DataFrame:
+def fold_ids(
+    df: DataFrame, folds: int, ids: Sequence[str], seed: int = 42, key: Column | None = None, name: str = "fold"
+) -> DataFrame:
     """Fold number in ``[0, folds)`` for cross-validation."""
-    return df.withColumn(name, F.pmod(hash_key(ids, seed), F.lit(folds)).cast("int"))
+    chosen = hash_key(ids, seed) if key is None else key
+    return df.withColumn(name, F.pmod(chosen, F.lit(folds)).cast("int"))
 
 
-def random_mask(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """Keep a repeatable random share of the rows (0.8 in the stability check)."""
-    return df.filter(uniform(ids, seed) < fraction)
+def random_mask(
+    df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42, draw: Column | None = None
+) -> DataFrame:
+    """The rows of a repeatable random mask (0.8 in the stability check)."""
+    return simple_sample(df, fraction, ids, seed, draw)
 
 
-def draw_seeds(df: DataFrame, k: int, ids: Sequence[str], candidates: int, seed: int = 42) -> DataFrame:
-    """``k`` distinct rows for each of ``candidates`` candidates: ``(candidate, seed_no, row...)``.
+def hash_picks(df: DataFrame, ids: Sequence[str], draws: int, per_draw: int, seed: int = 42) -> DataFrame:
+    """Candidates for ``draws`` independent samples of ``per_draw`` rows: ``(draw, h, row...)``.
 
-    One pass: every task keeps the ``k`` smallest hashes per candidate, so the shuffle carries
-    ``tasks * candidates * k`` rows at most.
+    Each draw gets its rows with the smallest hashes, a bounded surplus included (all rows of a
+    small table), from one pass over the table.
     """
-    row = F.struct(*[quoted(c) for c in df.columns])
-    hashed = [F.xxhash64(*[quoted(c) for c in ids], F.lit(seed), F.lit(c)) for c in range(candidates)]
-    # min_by keeps one row per slot; k slots per candidate partition the hash space, and the slot of
-    # a row depends on the row alone, so the k draws are distinct rows.
-    draws = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("candidate"), h.alias("h")) for c, h in enumerate(hashed)])
-        ).alias("_d"),
-        row.alias("_row"),
+    n = max(df.count(), 1)
+    share = min(1.0, (2.0 * per_draw + 64.0) / n)
+    base = F.xxhash64(*[quoted(c) for c in ids], F.lit(seed))
+    hashes = [F.pmod(F.xxhash64(base, F.lit(d)), F.lit(HASH_RANGE)) for d in range(draws)]
+    options = F.array(*[F.struct(F.lit(d).alias("draw"), h.alias("h")) for d, h in enumerate(hashes)])
+    picked = F.filter(options, lambda o: o["h"] < int(share * HASH_RANGE))
+    return df.select(F.explode(picked).alias("_o"), *[quoted(c) for c in df.columns]).select(
+        "_o.draw", "_o.h", *[quoted(c) for c in df.columns]
     )
-    slot = F.pmod(F.xxhash64(F.col("_d.h"), F.lit(7)), F.lit(k)).cast("int")
+
+
+def draw_seeds(df: DataFrame, k: int, ids: Sequence[str], candidates: int, seed: int = 42) -> DataFrame:
+    """``k`` distinct rows for each of ``candidates`` candidates: ``(candidate, seed_no, row...)``."""
+    picks = hash_picks(df, ids, candidates, k, seed).withColumnRenamed("draw", "candidate")
+    rank = F.row_number().over(Window.partitionBy("candidate").orderBy("h", *[quoted(c) for c in ids]))
     return (
-        draws.groupBy(F.col("_d.candidate").alias("candidate"), slot.alias("seed_no"))
-        .agg(F.min_by("_row", "_d.h").alias("_row"))
-        .select("candidate", "seed_no", "_row.*")
+        picks.withColumn("seed_no", rank - 1)
+        .filter(F.col("seed_no") < k)
+        .select("candidate", "seed_no", *[quoted(c) for c in df.columns])
     )
 
 
@@ -215,8 +230,16 @@ def time_split(
     return grouped.withColumn(name, part).drop("_slice")
 
 
-def working_sample(df: DataFrame, size: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
+def working_sample(
+    df: DataFrame,
+    size: int,
+    ids: Sequence[str],
+    seed: int = 42,
+    key: Column | None = None,
+    key_range: int = HASH_RANGE,
+) -> DataFrame:
     """Exactly ``size`` rows (or all, if fewer) by hash rank."""
     quota = F.least(F.lit(size).cast("bigint"), F.col("total"))
-    flagged = flag_by_rank(df, [], hash_key(ids, seed), ids, quota)
+    chosen = hash_key(ids, seed) if key is None else key
+    flagged = flag_by_rank(df, [], chosen, ids, quota, key_range)
     return flagged.filter("selected").drop("selected")

@@ -20,6 +20,7 @@ from flowscope.operators import quality as Q
 from flowscope.operators.fit import lloyd
 from flowscope.operators.reward import purity_loss
 from flowscope.operators.sample import draw_seeds
+from flowscope.session import spread
 
 Evaluate = Callable[[np.ndarray], np.ndarray]
 
@@ -168,7 +169,7 @@ def swarm_centroids(
     ``linear`` lets the inertia fall from 0.9 to 0.4 (own 1.5, best 1.7) and scores by the composite;
     ``fixed`` uses inertia 0.9, own 0.7, best 0.5 and scores by the silhouette alone.
     """
-    data = df.select(quoted(features).alias("features")).persist()
+    data = spread(df.select(quoted(features).alias("features"))).persist()
     try:
         dims = len(data.first()["features"])
         low, high = feature_box(data, "features", dims)
@@ -212,7 +213,7 @@ def bee_colony(
     ``davies_bouldin`` a set is better in the order DB, silhouette, CH; with
     ``calinski_harabasz`` proposals are first refined by K-means and CH decides.
     """
-    data = df.select(*[quoted(i) for i in ids], quoted(features).alias("features")).persist()
+    data = spread(df.select(*[quoted(i) for i in ids], quoted(features).alias("features"))).persist()
     rng = np.random.default_rng(seed)
     by_ch = fitness == "calinski_harabasz"
     if not by_ch and fitness != "davies_bouldin":
@@ -303,7 +304,7 @@ def swarm_mixture_means(
 
     Every particle runs ``short`` EM steps; all particles take each step in the same job.
     """
-    data = df.select(quoted(features).alias("features"), quoted(label).alias("y")).persist()
+    data = spread(df.select(quoted(features).alias("features"), quoted(label).alias("y"))).persist()
     try:
         dims = len(data.first()["features"])
         low, high = feature_box(data, "features", dims)
@@ -336,7 +337,7 @@ def swarm_feature_weights(
 
     ``means`` (K, D) start the mixture of every particle in unweighted units.
     """
-    data = df.select(quoted(features).alias("features"), quoted(label).alias("y")).persist()
+    data = spread(df.select(quoted(features).alias("features"), quoted(label).alias("y"))).persist()
     base = np.asarray(means, dtype=float)
     dims = base.shape[1]
 

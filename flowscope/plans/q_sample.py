@@ -16,7 +16,17 @@ def arithmetic_key(idx: str, seed: int = 42):
     return F.pmod(F.col(idx) * 7919 + F.lit(seed), F.lit(MODULUS))
 
 
-@query("stratified_fraction")
+def draw():
+    return arithmetic_key("event_id") / float(MODULUS)
+
+
+DRAW_SQL = f"((event_id * 7919 + 42) % {MODULUS}) / {MODULUS}.0"
+
+
+@query(
+    "stratified_fraction",
+    f"""WITH {B.FLOWS_SQL} SELECT "Family" AS family, CAST(round(count(*) * 0.3) AS BIGINT) AS n FROM flows GROUP BY 1""",
+)
 def stratified_fraction(spark, sf_dir):
     """Rows kept per label at 30 %."""
     df = B.flows(spark, sf_dir)
@@ -42,10 +52,13 @@ def stratified_size(spark, sf_dir):
     return P.stratified_size(df, "event_type", 800, ["event_id"], arithmetic_key("event_id"), MODULUS)
 
 
-@query("random_fraction")
+@query(
+    "random_fraction",
+    f"SELECT event_type, count(*) AS n FROM events WHERE {DRAW_SQL} < 0.1 GROUP BY 1",
+)
 def random_fraction(spark, sf_dir):
     df = B.table(spark, sf_dir, "events")
-    return P.simple_sample(df, 0.1, ["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return P.simple_sample(df, 0.1, ["event_id"], draw=draw()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -61,22 +74,32 @@ def stratified_split(spark, sf_dir):
     return flagged.groupBy("event_type", "is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("plain_split")
+@query(
+    "plain_split",
+    f"SELECT {DRAW_SQL} < 0.2 AS is_test, count(*) AS n FROM events GROUP BY 1",
+)
 def plain_split(spark, sf_dir):
-    df = P.plain_split(B.table(spark, sf_dir, "events"), 0.2, ["event_id"])
+    df = P.plain_split(B.table(spark, sf_dir, "events"), 0.2, ["event_id"], draw=draw())
     return df.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shuffled_folds")
+@query(
+    "shuffled_folds",
+    f"SELECT CAST((event_id * 7919 + 42) % {MODULUS} % 5 AS INTEGER) AS fold, count(*) AS n FROM events GROUP BY 1",
+)
 def shuffled_folds(spark, sf_dir):
-    df = P.fold_ids(B.table(spark, sf_dir, "events"), 5, ["event_id"])
+    df = P.fold_ids(B.table(spark, sf_dir, "events"), 5, ["event_id"], key=arithmetic_key("event_id"))
     return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("random_mask")
+@query(
+    "random_mask",
+    f"""SELECT count(*) AS n_original, count(*) FILTER ({DRAW_SQL} < 0.8) AS n_sampled,
+        count(*) FILTER ({DRAW_SQL} < 0.8) * 100.0 / count(*) AS ratio_pct FROM events""",
+)
 def random_mask(spark, sf_dir):
     df = B.table(spark, sf_dir, "events")
-    return P.sampling_ratio(P.random_mask(df, 0.8, ["event_id"]), df)
+    return P.sampling_ratio(P.random_mask(df, 0.8, ["event_id"], draw=draw()), df)
 
 
 @query("seed_rows")
@@ -98,7 +121,11 @@ def time_split(spark, sf_dir):
     return df.groupBy("event_type", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("working_sample", "SELECT 2000 AS n")
+@query(
+    "working_sample",
+    f"""SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY (event_id * 7919 + 42) % {MODULUS}, event_id) AS k FROM events)
+        WHERE k <= 2000""",
+)
 def working_sample(spark, sf_dir):
-    df = P.working_sample(B.table(spark, sf_dir, "lineitem"), 2000, B.LINE_IDS)
-    return df.agg(F.count(F.lit(1)).cast("int").alias("n"))
+    df = B.table(spark, sf_dir, "events").select("event_id", "value")
+    return P.working_sample(df, 2000, ["event_id"], key=arithmetic_key("event_id"), key_range=MODULUS)

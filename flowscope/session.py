@@ -51,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly to all cores, once, before a table is kept and scanned many times."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts)
