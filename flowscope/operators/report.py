@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.columns import quoted
 
-ALL = Window.partitionBy()
-
-
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """``(column, n, pct)``: counts and share of the table in percent."""
     counts = df.groupBy(quoted(column)).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(ALL)).orderBy(
+    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).orderBy(
         F.desc("n"), quoted(column)
     )
 
@@ -72,8 +69,8 @@ def purity(df: DataFrame, cluster: str, is_attack: Column) -> DataFrame:
     return per.withColumns(
         {
             "purity": F.col("attack") / F.col("total"),
-            "attack_share": F.try_divide(F.col("attack"), F.sum("attack").over(ALL)),
-            "benign_share": F.try_divide(F.col("benign"), F.sum("benign").over(ALL)),
+            "attack_share": F.try_divide(F.col("attack"), F.sum("attack").over(Window.partitionBy())),
+            "benign_share": F.try_divide(F.col("benign"), F.sum("benign").over(Window.partitionBy())),
             "misassigned": F.least("attack", "benign"),
         }
     )
@@ -145,9 +142,11 @@ def feature_bounds(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def class_guard(
     df: DataFrame, cluster: str, label: str, min_classes: int = 2, min_rows: int = 2
 ) -> DataFrame:
-    """Per cluster: number of classes, smallest class, distribution and whether it can be trained."""
-    counts = df.groupBy(quoted(cluster), quoted(label).alias("_label")).agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy(quoted(cluster)).agg(
+    """Per ``cluster``: number of classes, smallest class, distribution and whether it can be trained."""
+    counts = df.groupBy(quoted(cluster).alias("cluster"), quoted(label).alias("_label")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per = counts.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("classes"),
         F.min("n").alias("smallest"),
         F.sum("n").alias("rows"),

@@ -148,4 +148,5 @@ def feature_bounds(spark, sf_dir):
 )
 def class_guard(spark, sf_dir):
     df = B.table(spark, sf_dir, "events").filter((F.col("event_type") != "view") | (F.col("user_id") % 3 == 0))
-    return R.class_guard(df, "user_id", "event_type", 5, 8).drop("class_distribution")
+    guard = R.class_guard(df, "user_id", "event_type", 5, 8).drop("class_distribution")
+    return guard.withColumnRenamed("cluster", "user_id")

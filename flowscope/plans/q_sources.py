@@ -183,7 +183,7 @@ def run_summary(spark, sf_dir):
     from flowscope.operators.report import class_guard
 
     df = B.events(spark, sf_dir).withColumn("parity", (F.col("event_id") % 2).cast("string"))
-    guard = class_guard(df, "event_type", "parity").withColumnRenamed("event_type", "cluster")
+    guard = class_guard(df, "event_type", "parity")
     path = scratch_path(spark, "summary")
     W.write_summary(W.run_summary("forest", guard), path)
     shape = "model string, clusters array<struct<cluster: string, status: string, rows: bigint>>"

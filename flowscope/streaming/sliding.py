@@ -39,8 +39,9 @@ def sliding_entropies(codes: np.ndarray, window: int, bins: int, skip: int) -> n
 class SlidingEntropy(StatefulProcessor):
     """State per entity: the bins of the last ``window - 1`` rows, nothing else."""
 
-    def __init__(self, key: str, window: int, bins: int, order: Sequence[str], kept: Sequence[str]):
-        self.key, self.window, self.bins = key, window, bins
+    def __init__(self, columns: Sequence[str], window: int, bins: int, order: Sequence[str], kept: Sequence[str]):
+        # Column 0 is the entity, the last one the bin.
+        self.columns, self.window, self.bins = list(columns), window, bins
         self.order, self.kept = list(order), list(kept)
 
     def init(self, handle) -> None:
@@ -49,15 +50,17 @@ class SlidingEntropy(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         # The rows of one entity in one micro-batch; their number is bounded by the trigger.
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame.columns = self.columns
+        frame = frame.sort_values(self.order, kind="stable")
         known = self.recent.get() if self.recent.exists() else None
         before = np.array(known[0] if known is not None else [], dtype=np.int64)
-        codes = np.concatenate([before, frame["_bin"].to_numpy(dtype=np.int64)])
+        codes = np.concatenate([before, frame[self.columns[-1]].to_numpy(dtype=np.int64)])
         values = sliding_entropies(codes, self.window, self.bins, len(before))
         keep = codes[max(0, len(codes) - self.window + 1) :] if self.window > 1 else codes[:0]
         self.recent.update((keep.astype(int).tolist(),))
         out = frame[self.kept].copy()
-        out.insert(0, self.key, key[0])
+        out.insert(0, self.columns[0], key[0])
         out["entropy"] = values
         yield out
 
@@ -74,7 +77,7 @@ def stream_sliding_entropy(
     window: int = 256,
     bins: int = 50,
 ) -> DataFrame:
-    """``(entity, kept..., entropy)`` per row of a stream; NaN until an entity has ``window`` rows.
+    """``(entity, kept..., entropy)`` per row of a stream; null until an entity has ``window`` rows.
 
     Rows of an entity are taken in ``order`` inside a micro-batch. State lives in RocksDB.
     """
@@ -86,5 +89,5 @@ def stream_sliding_entropy(
     for c in kept:
         schema = schema.add(c, types[c])
     schema = schema.add("entropy", T.DoubleType())
-    processor = SlidingEntropy(entity, window, bins, order, kept)
+    processor = SlidingEntropy(rows.columns, window, bins, order, kept)
     return rows.groupBy(entity).transformWithStateInPandas(processor, schema, "append", "none")
