@@ -41,11 +41,10 @@ def number_or_zero(col: Column) -> Column:
     return F.coalesce(col.try_cast("double"), F.lit(0.0))
 
 
-def integer_or_zero(col: Column) -> Column:
+def integer_or_zero(col: Column, text: bool = False) -> Column:
     """Null, NaN, infinite or unreadable becomes 0; the rest is truncated toward zero."""
-    number = col.try_cast("double")
-    usable = number.isNotNull() & ~F.isnan(number)
-    return F.when(usable, F.coalesce(number.try_cast("bigint"), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    number = col.try_cast("double") if text else col
+    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def finite_or_null(col: Column) -> Column:

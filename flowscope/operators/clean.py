@@ -50,7 +50,8 @@ def coerce_numeric(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def truncate_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Null becomes 0 and the features are cut to integers."""
-    return df.withColumns({f: C.integer_or_zero(quoted(f)) for f in features})
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.withColumns({f: C.integer_or_zero(quoted(f), f in text) for f in features})
 
 
 def impute_mean(df: DataFrame, features: Sequence[str]) -> DataFrame:

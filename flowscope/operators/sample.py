@@ -181,20 +181,25 @@ def random_mask(
 
 
 def hash_picks(df: DataFrame, ids: Sequence[str], draws: int, per_draw: int, seed: int = 42) -> DataFrame:
-    """Candidates for ``draws`` independent samples of ``per_draw`` rows: ``(draw, h, row...)``.
+    """Candidates for ``draws`` samples of ``per_draw`` rows: ``(draw, h, row...)``.
 
-    Each draw gets its rows with the smallest hashes, a bounded surplus included (all rows of a
-    small table), from one pass over the table.
+    One hash places a row in at most one of as many draws as fit side by side in [0, 1); on a small
+    table further hashes serve the remaining draws. A draw gets about twice its rows (all rows of a
+    small table) and the caller keeps those with the smallest ``h``. One narrow pass.
     """
     n = max(df.count(), 1)
     share = min(1.0, (2.0 * per_draw + 64.0) / n)
-    base = F.xxhash64(*[quoted(c) for c in ids], F.lit(seed))
-    hashes = [F.pmod(F.xxhash64(base, F.lit(d)), F.lit(HASH_RANGE)) for d in range(draws)]
-    options = F.array(*[F.struct(F.lit(d).alias("draw"), h.alias("h")) for d, h in enumerate(hashes)])
-    picked = F.filter(options, lambda o: o["h"] < int(share * HASH_RANGE))
-    return df.select(F.explode(picked).alias("_o"), *[quoted(c) for c in df.columns]).select(
-        "_o.draw", "_o.h", *[quoted(c) for c in df.columns]
-    )
+    width = max(1, int(share * HASH_RANGE))
+    side_by_side = max(1, HASH_RANGE // width)
+    options = []
+    for first in range(0, draws, side_by_side):
+        h = hash_key(ids, seed + 7_919 * first)
+        place = F.floor(h / width).cast("int") + first
+        last = min(first + side_by_side, draws)
+        options.append(F.when(place < last, F.struct(place.alias("draw"), h.alias("h"))))
+    return df.select(
+        F.explode(F.array_compact(F.array(*options))).alias("_o"), *[quoted(c) for c in df.columns]
+    ).select("_o.draw", "_o.h", *[quoted(c) for c in df.columns])
 
 
 def draw_seeds(df: DataFrame, k: int, ids: Sequence[str], candidates: int, seed: int = 42) -> DataFrame:

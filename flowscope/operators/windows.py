@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import entropy as E
 from flowscope.functions.columns import quoted
-from flowscope.operators.entropy import count_entropies, value_counts
+from flowscope.operators.entropy import count_entropies
 from flowscope.operators.index import single_row, with_halo
 
 DEFAULT_CHUNK = 8_192
@@ -86,12 +86,6 @@ def sliding_histogram_entropy(
     return sliding_entropy(binned, idx, "_bin", window, entity, chunk, name).drop("_bin")
 
 
-def tumbling_counts(df: DataFrame, idx: str, features: Sequence[str], window: int, as_type: str) -> DataFrame:
-    """``(window_id, feature, value, n)`` of fixed blocks of ``window`` rows."""
-    rows = df.withColumn("window_id", F.expr(f"`{idx}` div {int(window)}"))
-    return value_counts(rows, ["window_id"], features, as_type)
-
-
 def tumbling_entropy(
     df: DataFrame,
     idx: str,
@@ -100,17 +94,31 @@ def tumbling_entropy(
     metrics: Sequence[str] = ("shannon", "renyi_2", "min_entropy"),
     as_type: str = "double",
 ) -> DataFrame:
-    """One vector per window: ``<feature>_<metric>`` columns for every feature."""
-    counts = tumbling_counts(df, idx, features, window, as_type)
-    long = count_entropies(counts, ["window_id", "feature"], metrics)
-    wide = long.groupBy("window_id").agg(
+    """One vector per block of ``window`` rows: ``<feature>_<metric>`` for every feature.
+
+    Rows are placed by window once. A window is bounded, so that is never a hot group, and the value
+    counts, the entropies and the wide row then all aggregate in place without another shuffle. The
+    long form comes from an array of structs, which keeps the placement (an unpivot would lose it).
+    """
+    block = F.expr(f"`{idx}` div {int(window)}").alias("window_id")
+    placed = df.select(block, *[quoted(f).cast(as_type).alias(f"_f{i}") for i, f in enumerate(features)])
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("feature"), F.col(f"_f{i}").alias("value")) for i in range(len(features))]
+    )
+    long = placed.repartition("window_id").select("window_id", F.inline(pairs))
+    counts = (
+        long.filter(F.col("value").isNotNull())
+        .groupBy("window_id", "feature", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    each = count_entropies(counts, ["window_id", "feature"], metrics)
+    return each.groupBy("window_id").agg(
         *[
-            F.coalesce(F.max(F.when(F.col("feature") == f, quoted(m))), F.lit(0.0)).alias(f"{f}_{m}")
-            for f in features
+            F.coalesce(F.max(F.when(F.col("feature") == i, quoted(m))), F.lit(0.0)).alias(f"{f}_{m}")
+            for i, f in enumerate(features)
             for m in metrics
         ]
     )
-    return wide
 
 
 def attach_window_vectors(df: DataFrame, vectors: DataFrame, idx: str, window: int = 100) -> DataFrame:

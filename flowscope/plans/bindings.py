@@ -25,10 +25,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("Label", label)
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as flow records: raw columns, an attack family and the collapsed label."""
+def flows(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """lineitem as flow records: raw columns, an attack family and the collapsed label.
+
+    ``source`` may bring lineitem with a ``row_idx``, which is kept.
+    """
     d = F.col
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem") if source is None else source
+    extra = [d("row_idx")] if "row_idx" in lines.columns else []
+    return lines.select(
+        *extra,
         d("l_orderkey").alias("order_id"),
         d("l_partkey").alias("part_id"),
         d("l_suppkey").alias("supp_id"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowscope.functions import columns as C
 from flowscope.operators import windows as W
+from flowscope.operators.index import with_file_row_index
 from flowscope.plans import bindings as B
 from flowscope.plans.q_report import rounded
 from flowscope.plans.registry import query
@@ -72,6 +74,37 @@ def tumbling_window_vectors(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c != "window_id"])
 
 
+FLOW_SHORT = ("protocol", "duration", "psh", "ratio", "bytes", "packets", "iat", "idle")
+
+
+def flow_window_sql() -> str:
+    """Three entropies of eight integer features per 100 rows in file order."""
+    rows = B.FLOWS_SQL.replace("FROM lineitem", "FROM numbered").replace("SELECT l_orderkey", "SELECT row_idx, l_orderkey")
+    longs = " UNION ALL ".join(
+        f"""SELECT row_idx // 100 AS window_id, '{s}' AS f, CAST(trunc("{c}") AS BIGINT) AS v FROM derived"""
+        for c, s in zip(C.FLOW_FEATURES, FLOW_SHORT, strict=True)
+    )
+    columns = ", ".join(
+        f"round(max(CASE WHEN f = '{s}' THEN {e} END), 6) AS {s}_{m}"
+        for s in FLOW_SHORT
+        for m, e in (("shannon", "h1"), ("renyi_2", "h2"), ("min_entropy", "hm"))
+    )
+    return f"""WITH numbered AS (SELECT row_number() OVER () - 1 AS row_idx, * FROM lineitem), {rows}, {B.DERIVED_SQL}, long AS ({longs}),
+      c AS (SELECT window_id, f, v, count(*) AS n FROM long GROUP BY ALL), p AS (SELECT window_id, f, n / sum(n) OVER (PARTITION BY window_id, f) AS p FROM c),
+      h AS (SELECT window_id, f, greatest(0.0, -sum(p * log2(p))) AS h1, greatest(0.0, -log2(sum(p * p))) AS h2, greatest(0.0, -log2(max(p))) AS hm FROM p GROUP BY ALL)
+      SELECT window_id, {columns} FROM h GROUP BY window_id"""
+
+
+@query("flow_window_vectors", flow_window_sql())
+def flow_window_vectors(spark, sf_dir):
+    """The whole flow file in 100-row windows, by file position: 24 entropies per window."""
+    lines = with_file_row_index(spark, f"{sf_dir}/lineitem.parquet")
+    df = B.flows(spark, sf_dir, lines).withColumns(C.derived_features())
+    short = df.select("row_idx", *[C.integer_or_zero(C.quoted(f)).alias(s) for f, s in zip(C.FLOW_FEATURES, FLOW_SHORT, strict=True)])
+    out = W.tumbling_entropy(short, "row_idx", FLOW_SHORT, as_type="bigint")
+    return rounded(out, *[c for c in out.columns if c != "window_id"])
+
+
 @query(
     "window_vector_rows",
     f"""WITH {WINDOWS_SQL} SELECT event_id, e.event_id // 100 AS window_id, round(h1, 6) AS event_type_shannon
