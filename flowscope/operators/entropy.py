@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import entropy as E
 from flowscope.functions.columns import quoted
+from flowscope.operators.index import checked_broadcast
 
 
 def unpivot_features(df: DataFrame, by: Sequence[str], features: Sequence[str], as_type: str) -> DataFrame:
@@ -40,7 +41,7 @@ def with_shares(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the share ``p`` of each value in its group (totals are joined, groups are not gathered)."""
     keys = [quoted(b) for b in by]
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    return counts.join(totals, list(by)).withColumn("p", F.col("n") / F.col("_total")).drop("_total")
+    return counts.join(checked_broadcast(totals), list(by)).withColumn("p", F.col("n") / F.col("_total")).drop("_total")
 
 
 def guarded_shannon(counts: DataFrame, by: Sequence[str], eps: float = E.LOG_GUARD) -> DataFrame:
@@ -59,7 +60,7 @@ def smoothed_shannon(
     keys = [quoted(b) for b in by]
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     return (
-        counts.join(totals, list(by))
+        counts.join(checked_broadcast(totals), list(by))
         .groupBy(*keys)
         .agg(E.shannon_smoothed(F.col("n"), F.col("_total"), bins, smoothing, base).alias("entropy"))
     )
@@ -157,6 +158,19 @@ def feature_metrics(
     return out.select(*[quoted(k) for k in keys], *[quoted(m) for m in metrics])
 
 
+def attack_metrics(
+    df: DataFrame, label: str, attack: str, features: Sequence[str], idx: str | None = None
+) -> DataFrame:
+    """The metric matrix that the registry prescribes for one attack family, over its rows.
+
+    ``idx`` is the position inside the attack's rows, needed where the wavelet entropy is asked for.
+    """
+    metrics = E.METRICS_OF_ATTACK.get(attack)
+    if metrics is None:
+        raise ValueError(f"no metrics registered for attack: {attack}")
+    return feature_metrics(df.filter(quoted(label) == attack), features, metrics, idx)
+
+
 def ordering_check(profile: DataFrame, by: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Check Shannon >= Renyi-2 >= min-entropy per group of a long profile."""
     kinds = ["shannon", "renyi_2", "min_entropy"]

@@ -90,6 +90,20 @@ def with_row_index(
     )
 
 
+def with_entity_index(
+    df: DataFrame, entity: Sequence[str], order: Sequence[str], name: str = "row_idx", unique: bool = False
+) -> DataFrame:
+    """0-based position of every row inside its entity.
+
+    Rows are placed by the global order (entity, order), which splits a hot entity over partitions;
+    the position is the distance to the entity's first row.
+    """
+    placed = with_row_index(df, [*entity, *order], "_at", unique)
+    starts = placed.groupBy(*entity).agg(F.min("_at").alias("_first"))
+    joined = placed.join(checked_broadcast(starts), list(entity))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_at") - F.col("_first")).alias(name))
+
+
 def with_halo(
     df: DataFrame, idx: str, chunk: int, halo: int
 ) -> DataFrame:

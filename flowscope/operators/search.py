@@ -144,6 +144,21 @@ def column_objective(
     return evaluate, allowed
 
 
+def threshold_errors(df: DataFrame, features: list[str], is_attack: Column) -> Evaluate:
+    """Label errors of "all features above their thresholds is an attack", a whole population per job."""
+
+    def evaluate(positions: np.ndarray) -> np.ndarray:
+        counts = []
+        for i, position in enumerate(positions):
+            above = F.lit(True)
+            for feature, cut in zip(features, position, strict=True):
+                above = above & (quoted(feature) > F.lit(float(cut)))
+            counts.append(F.count_if(above != is_attack).alias(f"e{i}"))
+        return np.array(df.agg(*counts).first(), dtype=float)
+
+    return evaluate
+
+
 def feature_box(df: DataFrame, features: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest value per feature; equal ends are widened a little."""
     x = quoted(features)

@@ -55,6 +55,34 @@ def flows(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) ->
     )
 
 
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a connection log: counters, one-hot protocol and state, label."""
+    d = F.col
+    price = d("l_extendedprice")
+    attack = ((d("l_returnflag") != "N") & (d("l_quantity") > 5)) | (price > 60000)
+    states = {"S0": "R", "OTH": "A", "SF": "N"}
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        d("l_quantity").alias("duration"),
+        price.alias("orig_bytes"),
+        d("l_partkey").cast("double").alias("resp_bytes"),
+        d("l_suppkey").cast("double").alias("missed_bytes"),
+        d("l_linenumber").cast("double").alias("orig_pkts"),
+        (price * (1 - d("l_discount"))).alias("orig_ip_bytes"),
+        (d("l_quantity") / 2).alias("resp_pkts"),
+        (price * (1 + d("l_tax"))).alias("resp_ip_bytes"),
+        (d("l_linenumber") == 7).cast("double").alias("proto_icmp"),
+        (d("l_linestatus") == "F").cast("double").alias("proto_tcp"),
+        (d("l_linestatus") == "O").cast("double").alias("proto_udp"),
+        *[(d("l_returnflag") == v).cast("double").alias(f"conn_state_{k}") for k, v in states.items()],
+        F.when(attack, ATTACK).otherwise(BENIGN).alias("Label"),
+    )
+
+
+CONNECTION_IDS = ("l_orderkey", "l_partkey", "l_suppkey", "duration", "orig_bytes", "orig_pkts", "orig_ip_bytes", "resp_ip_bytes")
+
 FLOWS_SQL = """
 flows AS (
   SELECT l_orderkey AS order_id, l_partkey AS part_id, l_suppkey AS supp_id,

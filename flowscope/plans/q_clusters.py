@@ -375,22 +375,23 @@ def swarm_centroid_search(spark, sf_dir):
 
 @query("bounded_swarm")
 def bounded_swarm(spark, sf_dir):
-    """Threshold pair on price and duration with the fewest errors, under an inequality."""
-    grid = (
-        B.flows(spark, sf_dir)
-        .groupBy(F.floor(F.col("Flow Duration")).alias("x"), F.floor(F.col("Flow Bytes/s") / 1000).alias("y"))
-        .agg(F.count_if(F.col("Label") == "DDoS").alias("a"), F.count_if(F.col("Label") != "DDoS").alias("b"))
+    """Threshold pair on duration and price with the fewest label errors, under an inequality."""
+    df = clustered(spark, sf_dir).select("Flow Duration", "Flow Bytes/s", "is_attack").persist()
+    evaluate = S.threshold_errors(df, ["Flow Duration", "Flow Bytes/s"], F.col("is_attack"))
+    result = S.swarm(
+        evaluate, np.array([0.0, 0.0]), np.array([51.0, 106_000.0]), 12, 8,
+        feasible=lambda p: p[:, 1] - 1_000.0 * p[:, 0] >= -20_000.0, min_step=1e-8,
     )
-    cells = [tuple(map(float, r)) for r in grid.collect()]
-    held = np.array(cells)
+    df.unpersist()
+    return result.table(spark)
 
-    def evaluate(p):
-        flagged = (held[:, 0][None] > p[:, :1]) & (held[:, 1][None] > p[:, 1:])
-        return (flagged * held[:, 3] + ~flagged * held[:, 2]).sum(axis=1)
 
-    result = S.swarm(
-        evaluate, np.array([0.0, 0.0]), np.array([51.0, 106.0]), 30, 25,
-        feasible=lambda p: p[:, 1] - p[:, 0] >= -20.0, min_step=1e-8,
+@query("bee_colony_refined")
+def bee_colony_refined(spark, sf_dir):
+    """Bee colony whose proposals are refined by K-means and judged by Calinski-Harabasz."""
+    _, result = S.bee_colony(
+        B.vectors(spark, sf_dir), 10, ["vec_id"], bees=5, iterations=2, limit=3,
+        fitness="calinski_harabasz", refine_iterations=3,
     )
     return result.table(spark)
 

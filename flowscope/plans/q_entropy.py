@@ -202,3 +202,17 @@ def entropy_ordering(spark, sf_dir):
 def low_entropy_features(spark, sf_dir):
     """The half of the features with the lowest entropy given the attack label."""
     return rounded(O.select_by_entropy(integer_features(spark, sf_dir), "label", "DDoS", MEASURED, 0.5), "shannon")
+
+
+@query(
+    "attack_metric_matrix",
+    f"""WITH {FEATURES_SQL}, u AS (SELECT feature, CAST(v AS DOUBLE) AS v FROM long WHERE family = 'Syn'),
+        c AS (SELECT feature, v, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p FROM c),
+        e AS (SELECT feature, -sum(p * log2(p)) AS h FROM p GROUP BY 1), m AS (SELECT feature, v, avg(v) OVER (PARTITION BY feature) AS mu FROM u),
+        k AS (SELECT feature, avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5) AS sk FROM m GROUP BY 1)
+        SELECT feature, round(h, 6) AS shannon, round(sk, 5) AS skewness FROM e JOIN k USING (feature)""",
+)
+def attack_metric_matrix(spark, sf_dir):
+    """The metrics that the registry prescribes for one attack family."""
+    out = O.attack_metrics(integer_features(spark, sf_dir), "family", "Syn", MEASURED)
+    return rounded(out, "shannon").withColumn("skewness", F.round("skewness", 5))

@@ -9,6 +9,7 @@ from flowscope.operators import supervised as M
 from flowscope.plans import bindings as B
 from flowscope.plans.q_report import rounded
 from flowscope.plans.registry import query
+from flowscope.sources.flows import FEATURE_SETS
 
 FEATURES = ["Flow Duration", "Flow Bytes/s", "Flow IAT Mean", "Active Mean", "Protocol"]
 SAFE = ["duration", "bytes", "iat", "active", "protocol"]
@@ -98,8 +99,28 @@ def forest_sweep(spark, sf_dir):
 
 @query("feature_set_comparison")
 def feature_set_comparison(spark, sf_dir):
-    sets = {"default": SAFE, "a": SAFE[:3], "b": SAFE[2:]}
-    return M.compare_feature_sets(training_flows(spark, sf_dir), sets, "Label", IDS, lambda: M.forest(10, 5))
+    """One forest per named feature set on the connection log, same split."""
+    df = B.connections(spark, sf_dir)
+    return M.compare_feature_sets(df, FEATURE_SETS, "Label", B.CONNECTION_IDS, lambda: M.forest(10, 5))
+
+
+@query(
+    "named_feature_sets",
+    """SELECT 'Default' AS feature_set, count(*) AS n, round(sum(l_linenumber + l_extendedprice * (1 - l_discount) + l_quantity
+          + l_suppkey + l_extendedprice + l_extendedprice * (1 + l_tax) + 1) + count(*) FILTER (l_returnflag <> 'N') + count(*) FILTER (l_linenumber = 7), 1) AS total FROM lineitem
+       UNION ALL SELECT 'B', count(*), round(sum(l_linenumber + l_extendedprice * (1 - l_discount) + l_quantity) + count(*) FILTER (l_returnflag <> 'N'), 1) FROM lineitem""",
+)
+def named_feature_sets(spark, sf_dir):
+    """Totals over the columns of two named feature sets."""
+    df = B.connections(spark, sf_dir)
+    parts = []
+    for name in ("Default", "B"):
+        chosen = df.select(*FEATURE_SETS[name])
+        per_row = sum((F.col(c) for c in chosen.columns), F.lit(0.0))
+        parts.append(
+            chosen.agg(F.lit(name).alias("feature_set"), F.count(F.lit(1)).alias("n"), F.round(F.sum(per_row), 1).alias("total"))
+        )
+    return parts[0].unionAll(parts[1])
 
 
 SCORES_SQL = f"""{PREDICTED_SQL},

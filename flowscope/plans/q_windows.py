@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import columns as C
 from flowscope.operators import windows as W
-from flowscope.operators.index import with_file_row_index
+from flowscope.operators.index import with_entity_index, with_file_row_index
 from flowscope.plans import bindings as B
 from flowscope.plans.q_report import rounded
 from flowscope.plans.registry import query
@@ -165,3 +165,20 @@ def fixed_length_sequences(spark, sf_dir):
     s = W.sequences(df, "event_id", ["value"], "event_type", 20)
     mix = F.aggregate(F.transform("sequence", lambda x, i: x[0] * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     return s.select("event_id", F.round(mix, 4).alias("mix"), F.size("sequence").cast("bigint").alias("length"), "label")
+
+
+@query(
+    "entity_sliding_entropy",
+    """WITH e AS (SELECT user_id, event_id, least(floor(least(value / 500, 1.0) * 50), 49) AS bin,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+       r AS (SELECT a.user_id, a.event_id, a.i, b.bin, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 15 AND a.i GROUP BY ALL)
+       SELECT user_id, event_id, CASE WHEN i >= 16 THEN round(greatest(0.0, log2(16) - sum(n * log2(n)) / 16), 6) END AS entropy FROM r GROUP BY user_id, event_id, i""",
+)
+def entity_sliding_entropy(spark, sf_dir):
+    """Sliding histogram entropy per user, by positions inside the user's rows."""
+    df = B.table(spark, sf_dir, "events").select(
+        "user_id", "ts", "event_id", F.least(F.col("value") / 500, F.lit(1.0)).alias("x")
+    )
+    placed = with_entity_index(df, ["user_id"], ["ts", "event_id"], unique=True)
+    out = W.sliding_histogram_entropy(placed, "row_idx", "x", 16, entity=["user_id"])
+    return rounded(out.select("user_id", "event_id", "entropy"), "entropy")

@@ -54,7 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly to all cores, once, before a table is kept and scanned many times."""
+    """Deal rows evenly to all cores, once, before a table is kept and scanned many times.
+
+    A table that already comes in enough files is left as it is.
+    """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if len(df._jdf.inputFiles()) >= parts:
+        return df
     return df.repartition(parts)

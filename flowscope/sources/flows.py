@@ -23,6 +23,20 @@ CONNECTION_COLUMNS = (
     "conn_state_S2", "conn_state_S3", "conn_state_SF", "conn_state_SH", "conn_state_SHR",
 )
 
+# The named feature sets over a connection log.
+FEATURE_SETS = {
+    "Default": (
+        "orig_pkts", "orig_ip_bytes", "conn_state_OTH", "duration",
+        "conn_state_S0", "missed_bytes", "orig_bytes", "proto_tcp",
+        "proto_udp", "resp_ip_bytes", "proto_icmp",
+    ),
+    "A": (
+        "orig_ip_bytes", "orig_pkts", "conn_state_S0", "conn_state_OTH",
+        "duration", "orig_bytes", "resp_bytes", "proto_tcp", "proto_udp",
+    ),
+    "B": ("orig_ip_bytes", "orig_pkts", "conn_state_S0", "conn_state_OTH", "duration"),
+}
+
 # Candidate names of the packet length column, best first.
 LENGTH_COLUMNS = (
     "Total Length of Fwd Packets", "Fwd Packet Length Mean", "Packet Length", "Length",
