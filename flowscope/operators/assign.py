@@ -60,6 +60,7 @@ def nearest(
     """Add the nearest centroid (lowest index wins a tie) and the Euclid distance to it."""
     fixed = np.asarray(centroids, dtype=np.float64)
     check_size(fixed)
+    df = df.drop(cluster, distance)
     names = list(df.columns)
     at = names.index(features)
 

@@ -26,7 +26,7 @@ def with_vector(df: DataFrame, features: str = "features", name: str = "_vec") -
 def _labelled(model, df: DataFrame, cluster: str) -> DataFrame:
     keep = [c for c in model.transform(df).columns if c not in ("_vec", "_prob")]
     out = model.transform(df).select(*[quoted(c) for c in keep])
-    return out.withColumnRenamed("_cluster", cluster)
+    return out.drop(cluster).withColumnRenamed("_cluster", cluster)
 
 
 def kmeans(
@@ -83,12 +83,24 @@ def gaussian_mixture(
 
 
 def hierarchical(
-    df: DataFrame, k: int, seed: int = 42, features: str = "features", cluster: str = "cluster"
+    df: DataFrame,
+    k: int,
+    restarts: int = 3,
+    seed: int = 42,
+    features: str = "features",
+    cluster: str = "cluster",
 ) -> DataFrame:
-    """Divisive hierarchy down to ``k`` groups (bisecting K-means)."""
-    vectors = with_vector(df, features)
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
-    return _labelled(model, vectors, cluster)
+    """Divisive hierarchy down to ``k`` groups: the cheapest of ``restarts`` bisecting K-means runs."""
+    vectors = spread(with_vector(df.select(quoted(features)), features)).persist()
+    try:
+        runs = [
+            BisectingKMeans(k=k, seed=seed + r, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
+            for r in range(restarts)
+        ]
+        best = min(runs, key=lambda m: m.summary.trainingCost)
+    finally:
+        vectors.unpersist()
+    return _labelled(best, with_vector(df, features), cluster)
 
 
 def _medoids(x: np.ndarray, k: int, plus_plus: bool, rng: np.random.Generator, max_iter: int = 300) -> np.ndarray:
@@ -184,14 +196,19 @@ def two_means_1d(df: DataFrame, value: str, name: str = "side") -> DataFrame:
 
 
 def sweep(
-    df: DataFrame, ks: Sequence[int], restarts: int = 1, seed: int = 42, features: str = "features"
+    df: DataFrame,
+    ks: Sequence[int],
+    restarts: int = 1,
+    max_iter: int = 300,
+    seed: int = 42,
+    features: str = "features",
 ) -> pd.DataFrame:
     """Metrics of a K-means for every ``k``; the largest silhouette is marked ``best``."""
     data = spread(df.select(quoted(features).alias("features"))).persist()
     try:
         rows = []
         for k in ks:
-            _, centroids, cost = kmeans(data, k, restarts, seed=seed)
+            _, centroids, cost = kmeans(data, k, restarts, max_iter, seed)
             scored = Q.score_population(data, centroids[None])
             rows.append(
                 (k, cost, *[float(scored[c][0]) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")])
@@ -209,7 +226,7 @@ def compare(df: DataFrame, k: int, seed: int = 42, features: str = "features") -
     try:
         labelled = {
             "kmeans": kmeans(data, k, 1, seed=seed)[0],
-            "hierarchical": hierarchical(data, k, seed),
+            "hierarchical": hierarchical(data, k, 1, seed),
             "gaussian_mixture": gaussian_mixture(data, k, seed=seed)[0],
         }
         tables = []

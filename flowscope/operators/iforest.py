@@ -70,6 +70,7 @@ class Forest:
     def score(self, df: DataFrame, features: str = "features", name: str = "anomaly") -> DataFrame:
         """Add the anomaly score in (0, 1]; higher is more isolated."""
         trees, norm, depth = self.trees, self.norm, self.depth
+        df = df.drop(name)
         names = list(df.columns)
         at = names.index(features)
 

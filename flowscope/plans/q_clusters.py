@@ -210,7 +210,7 @@ def calinski_harabasz(spark, sf_dir):
 @query("inertia_series")
 def inertia_series(spark, sf_dir):
     """Inertia for each number of clusters, the last one included."""
-    table = K.sweep(B.vectors(spark, sf_dir), range(2, 7))
+    table = K.sweep(B.vectors(spark, sf_dir), range(2, 7), max_iter=30)
     return spark.createDataFrame(table[["k", "inertia"]])
 
 
@@ -291,7 +291,7 @@ def algorithm_comparison(spark, sf_dir):
 
 @query("cluster_count_sweep")
 def cluster_count_sweep(spark, sf_dir):
-    return spark.createDataFrame(K.sweep(flow_vectors(spark, sf_dir), range(2, 6)))
+    return spark.createDataFrame(K.sweep(flow_vectors(spark, sf_dir), range(2, 6), max_iter=30))
 
 
 @query(

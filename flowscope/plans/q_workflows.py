@@ -52,6 +52,7 @@ def explored_clusters(spark, sf_dir):
     """Bagged sample to outliers, importance, reduction, sweep and clusters: the purity report."""
     features = ["duration", "orig_bytes", "orig_ip_bytes", "resp_ip_bytes", "orig_pkts", "missed_bytes"]
     out = W.explore_clusters(
-        B.connections(spark, sf_dir), features, "Label", B.CONNECTION_IDS, F.col("Label") == "DDoS", bags=2, ks=range(2, 4)
+        B.connections(spark, sf_dir), features, "Label", B.CONNECTION_IDS, F.col("Label") == "DDoS", bags=2,
+        ks=range(2, 4), max_iter=20,
     )
     return rounded(out["purity"], "purity", "attack_share", "benign_share")

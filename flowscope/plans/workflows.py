@@ -22,6 +22,7 @@ from flowscope.operators import sample as P
 from flowscope.operators import stats as S
 from flowscope.operators import supervised as M
 from flowscope.operators import windows as V
+from flowscope.session import cut_lineage
 
 
 def window_entropies(
@@ -62,24 +63,27 @@ def explore_clusters(
     top: int = 20,
     target: float = 0.8,
     ks: Sequence[int] = range(2, 6),
+    max_iter: int = 300,
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Bagged sample, outlier removal, importance, reduction, sweep over k, clusters and reports."""
     spark = df.sparkSession
-    bagged = P.bagged_sample(df, label, fraction, bags, ids, seed)
+    # Both are scanned many times below.
+    bagged = cut_lineage(P.bagged_sample(df, label, fraction, bags, ids, seed))
     scaler = S.fit_standard_scaler(bagged, features)
     contamination = S.adaptive_contamination(bagged, features)
     scaled = scaler.transform(bagged).withColumn("features", C.features_array(features))
     flagged = I.flag_outliers(scaled, ids, contamination, seed=seed)
     kept = flagged.filter(~F.col("is_outlier"))
-    first, _, _ = fit.kmeans(kept, max(ks), 1, seed=seed)
+    first, _, _ = fit.kmeans(kept, max(ks), 1, max_iter, seed)
     ranking = M.cluster_importances(first, features, "cluster", top)
     best = [r["feature"] for r in ranking.collect()]
     reduction = D.fit_pca_to_variance(kept, best, target)
     reduced = reduction.transform(kept.drop("features")).withColumn("features", vector_to_array("components"))
-    table = fit.sweep(reduced, ks, seed=seed)
+    reduced = cut_lineage(reduced)
+    table = fit.sweep(reduced, ks, 1, max_iter, seed)
     k = int(table.loc[table["best"], "k"].iloc[0])
-    clustered, _, _ = fit.kmeans(reduced, k, 1, seed=seed)
+    clustered, _, _ = fit.kmeans(reduced, k, 1, max_iter, seed)
     return {
         "outliers": I.removal_counts(flagged),
         "importance": ranking,
