@@ -82,25 +82,54 @@ def gaussian_mixture(
     return _labelled(model, vectors, cluster), float(model.summary.logLikelihood)
 
 
+def _ward_groups(means: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Merge weighted means pairwise by the smallest growth of the within-group sum of squares."""
+    groups = np.arange(len(means))
+    mean, size = means.astype(float).copy(), sizes.astype(float).copy()
+    alive = list(np.flatnonzero(size > 0))
+    while len(alive) > k:
+        live = np.array(alive)
+        weight = size[live][:, None] * size[live][None] / (size[live][:, None] + size[live][None])
+        growth = weight * A.squared_distances(mean[live], mean[live])
+        np.fill_diagonal(growth, np.inf)
+        i, j = np.unravel_index(growth.argmin(), growth.shape)
+        keep, gone = live[min(i, j)], live[max(i, j)]
+        mean[keep] = (mean[keep] * size[keep] + mean[gone] * size[gone]) / (size[keep] + size[gone])
+        size[keep] += size[gone]
+        groups[groups == gone] = keep
+        alive.remove(gone)
+    return np.searchsorted(alive, groups)
+
+
 def hierarchical(
     df: DataFrame,
     k: int,
-    restarts: int = 3,
+    method: str = "ward",
+    micro: int = 100,
     seed: int = 42,
     features: str = "features",
     cluster: str = "cluster",
 ) -> DataFrame:
-    """Divisive hierarchy down to ``k`` groups: the cheapest of ``restarts`` bisecting K-means runs."""
+    """Hierarchical grouping into ``k`` clusters at any table size.
+
+    ``ward`` first condenses the rows into ``micro`` K-means cells and then merges the cells by
+    Ward's rule, which needs only their means and sizes. ``bisecting`` divides from the top.
+    """
     vectors = spread(with_vector(df.select(quoted(features)), features)).persist()
     try:
-        runs = [
-            BisectingKMeans(k=k, seed=seed + r, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
-            for r in range(restarts)
-        ]
-        best = min(runs, key=lambda m: m.summary.trainingCost)
+        if method == "bisecting":
+            model = BisectingKMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
+            return _labelled(model, with_vector(df, features), cluster)
+        if method != "ward":
+            raise ValueError(f"unknown method: {method}")
+        model = KMeans(k=max(k, micro), maxIter=20, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
     finally:
         vectors.unpersist()
-    return _labelled(best, with_vector(df, features), cluster)
+    groups = _ward_groups(np.array(model.clusterCenters()), np.array(model.summary.clusterSizes), k)
+    cells = F.array(*[F.lit(int(g)) for g in groups])
+    return _labelled(model, with_vector(df, features), "_cell").withColumn(
+        cluster, cells[F.col("_cell")]
+    ).drop("_cell")
 
 
 def _medoids(x: np.ndarray, k: int, plus_plus: bool, rng: np.random.Generator, max_iter: int = 300) -> np.ndarray:
@@ -226,7 +255,7 @@ def compare(df: DataFrame, k: int, seed: int = 42, features: str = "features") -
     try:
         labelled = {
             "kmeans": kmeans(data, k, 1, seed=seed)[0],
-            "hierarchical": hierarchical(data, k, 1, seed),
+            "hierarchical": hierarchical(data, k, seed=seed),
             "gaussian_mixture": gaussian_mixture(data, k, seed=seed)[0],
         }
         tables = []

@@ -115,6 +115,11 @@ def test_fits_find_the_blobs(table, fit):
     assert Q.adjusted_rand(both, "cluster", "truth").first()["ari"] > 0.8
 
 
+def test_bisecting_makes_k_groups(table):
+    out = K.hierarchical(table.drop("cluster"), 3, "bisecting")
+    assert out.select("cluster").distinct().count() == 3
+
+
 def test_same_labels_agree_fully(table):
     row = Q.adjusted_rand(table.withColumn("other", 9 - F.col("cluster")), "cluster", "other").first()
     assert row["ari"] == pytest.approx(1.0)
