@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowscope.operators import supervised as M
 from flowscope.operators.index import with_file_row_index
+from flowscope.operators.report import class_guard
 from flowscope.plans import bindings as B
 from flowscope.plans.registry import query
 from flowscope.session import scratch_path
@@ -122,19 +125,19 @@ def attach_side_column(spark, sf_dir):
     )
 
 
-@query("saved_model")
+@query(
+    "saved_model",
+    """SELECT event_id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 6) + 0.0 AS value_scaled,
+              round((user_id - avg(user_id) OVER ()) / stddev_samp(user_id) OVER (), 6) + 0.0 AS user_scaled FROM events""",
+)
 def saved_model(spark, sf_dir):
     """A fitted scaler pipeline written, read back and applied to all events."""
-    from pyspark.ml import Pipeline
-
     df = B.events(spark, sf_dir).select("event_id", "value", "user_id")
     stages = [VectorAssembler(inputCols=["value", "user_id"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]
     path = scratch_path(spark, "model")
     M.save_model(Pipeline(stages=stages).fit(df), path)
-    from pyspark.ml.functions import vector_to_array
-
     scaled = M.load_model(path).transform(df).withColumn("x", vector_to_array("scaled"))
-    return scaled.select("event_id", F.round(F.col("x")[0], 6).alias("value_scaled"), F.round(F.col("x")[1], 6).alias("user_scaled"))
+    return scaled.select("event_id", (F.round(F.col("x")[0], 6) + 0.0).alias("value_scaled"), (F.round(F.col("x")[1], 6) + 0.0).alias("user_scaled"))
 
 
 @query(
@@ -180,8 +183,6 @@ def misclassified_export(spark, sf_dir):
        SELECT event_type AS cluster, 'trained' AS status, n AS rows FROM c""",
 )
 def run_summary(spark, sf_dir):
-    from flowscope.operators.report import class_guard
-
     df = B.events(spark, sf_dir).withColumn("parity", (F.col("event_id") % 2).cast("string"))
     guard = class_guard(df, "event_type", "parity")
     path = scratch_path(spark, "summary")

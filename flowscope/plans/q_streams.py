@@ -11,7 +11,7 @@ from flowscope.plans import bindings as B
 from flowscope.plans.q_report import rounded
 from flowscope.plans.registry import query
 from flowscope.streaming import runs as S
-from flowscope.streaming.sliding import stream_sliding_entropy
+from flowscope.streaming.sliding import batch_sliding_entropy, stream_sliding_entropy
 
 WINDOW = 16
 
@@ -28,19 +28,27 @@ def user_entropies(spark, sf_dir):
     return S.drain(stream, "entropy")
 
 
-@query(
-    "stream_sliding_entropy",
-    f"""WITH e AS (SELECT user_id, event_id, least(floor(least(value / 500, 1.0) * 50), 49) AS bin,
+USER_ENTROPY_SQL = f"""WITH e AS (SELECT user_id, event_id, least(floor(least(value / 500, 1.0) * 50), 49) AS bin,
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         r AS (SELECT a.user_id, a.event_id, a.i, b.bin, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.i BETWEEN a.i - {WINDOW - 1} AND a.i GROUP BY ALL)
-        SELECT user_id, event_id, CASE WHEN i >= {WINDOW} THEN round(greatest(0.0, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}), 6) END AS entropy FROM r GROUP BY user_id, event_id, i""",
-)
+        SELECT user_id, event_id, CASE WHEN i >= {WINDOW} THEN round(greatest(0.0, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}), 6) END AS entropy FROM r GROUP BY user_id, event_id, i"""
+
+
+@query("stream_sliding_entropy", USER_ENTROPY_SQL)
 def stream_sliding(spark, sf_dir):
     """Entropy of the last rows of every user, from a stream over all events."""
     out, _ = user_entropies(spark, sf_dir)
     return rounded(out.select("user_id", "event_id", "entropy"), "entropy")
 
 
+@query("stream_hot_entity_entropy", USER_ENTROPY_SQL)
+def stream_hot_entity(spark, sf_dir):
+    """The same by micro-batches of chunked windows, which split a hot user over tasks."""
+    stream = event_stream(spark, sf_dir)
+    out, _ = batch_sliding_entropy(stream, "user_id", "share", ["ts", "event_id"], ["event_id"], WINDOW)
+    return rounded(out, "entropy")
+
+
 @query("stream_batch_clusters")
 def stream_batch_clusters(spark, sf_dir):
     """Every micro-batch standardised and clustered by itself."""

@@ -1,4 +1,9 @@
-"""Sliding histogram entropy per entity as a stateful stream operator."""
+"""Sliding histogram entropy per entity on a stream: a stateful operator, and micro-batches of windows.
+
+The stateful operator has the lowest latency and keeps one entity's rows of a micro-batch in one
+task. The micro-batch form splits a hot entity over tasks by position chunks and suits batches in
+which one entity may hold a large share of the rows.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from flowscope.functions.columns import quoted
-from flowscope.operators.windows import histogram_bin
+from flowscope.operators.index import checked_broadcast, with_entity_index
+from flowscope.operators.windows import histogram_bin, sliding_histogram_entropy
+from flowscope.session import scratch_path
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Rows whose bin counts are held at once inside a task.
@@ -91,3 +98,48 @@ def stream_sliding_entropy(
     schema = schema.add("entropy", T.DoubleType())
     processor = SlidingEntropy(rows.columns, window, bins, order, kept)
     return rows.groupBy(entity).transformWithStateInPandas(processor, schema, "append", "none")
+
+
+def batch_sliding_entropy(
+    stream: DataFrame,
+    entity: str,
+    value: str,
+    order: Sequence[str],
+    kept: Sequence[str],
+    window: int = 256,
+    bins: int = 50,
+) -> tuple[DataFrame, StreamingQuery]:
+    """The same result through the batch window operator, one micro-batch after the other.
+
+    Between batches only the last ``window - 1`` rows of every entity are kept, in a table per batch
+    in the shared folder. A batch that runs again overwrites its own output and tail.
+    """
+    spark = stream.sparkSession
+    out, tails, state = (scratch_path(spark, n) for n in ("entropy", "entropy-tail", "entropy-state"))
+    columns = list(dict.fromkeys([entity, *order, *kept, value]))
+    rows = stream.select(*[quoted(c) for c in columns])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.withColumn("_new", F.lit(1))
+        if batch_id > 0:
+            known = batch.sparkSession.read.schema(T.StructType([*rows.schema.fields]))
+            fresh = known.parquet(f"{tails}/batch={batch_id - 1}").withColumn("_new", F.lit(0)).unionByName(fresh)
+        placed = with_entity_index(fresh, [entity], ["_new", *order], "_pos", unique=True)
+        done = sliding_histogram_entropy(placed, "_pos", value, window, bins, [entity])
+        done.filter("_new = 1").select(
+            quoted(entity), *[quoted(c) for c in kept if c != entity], "entropy"
+        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ends = placed.groupBy(quoted(entity)).agg(F.max("_pos").alias("_end"))
+        tail = placed.join(checked_broadcast(ends), entity).filter(F.col("_pos") > F.col("_end") - (window - 1))
+        tail.select(*[quoted(c) for c in columns]).write.mode("overwrite").parquet(f"{tails}/batch={batch_id}")
+
+    query = (
+        rows.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    types = {f.name: f for f in rows.schema}
+    schema = T.StructType([types[entity], *[types[c] for c in kept if c != entity]]).add("entropy", T.DoubleType())
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out), query

@@ -11,7 +11,7 @@ from flowscope.plans.registry import query
 from flowscope.sources import flows as G
 from flowscope.sources import sinks as K
 from flowscope.streaming import runs as S
-from flowscope.streaming.sliding import stream_sliding_entropy
+from flowscope.streaming.sliding import batch_sliding_entropy, stream_sliding_entropy
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +100,8 @@ def test_stream_equals_batch(spark, feed):
     assert got.keys() == want.keys() and len(got) == 1200
     for key, value in want.items():
         assert got[key] == (None if value is None else pytest.approx(value, abs=1e-9))
+    hot, _ = batch_sliding_entropy(stream, "e", "x", ["i"], ["i"], 32)
+    assert {(r["e"], r["i"]): r["entropy"] for r in hot.collect()} == pytest.approx(want, abs=1e-9, nan_ok=True)
     cost = S.accounting(run, spark)
     assert cost.agg(F.sum("rows")).first()[0] == 1200
     assert S.amortised_cost(cost, 10.0, 1024).first()["amortised_ms"] > 0
