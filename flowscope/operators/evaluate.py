@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.columns import quoted
 from flowscope.operators.index import running_sums
+from flowscope.session import cut_lineage
 
 
 def class_scores(df: DataFrame, truth: str, predicted: str, classes: Sequence[str], beta: float = 2.0) -> DataFrame:
@@ -113,7 +114,7 @@ def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
     Ties share a row, so the curve does not depend on row order; running sums are two-level.
     """
-    counts = (
+    counts = cut_lineage(
         df.select(quoted(score).cast("double").alias("threshold"), positive.alias("_y"))
         .groupBy("threshold")
         .agg(F.count_if("_y").alias("_pos"), F.count_if(~F.col("_y")).alias("_neg"))

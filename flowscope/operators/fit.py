@@ -16,7 +16,7 @@ from flowscope.operators import assign as A
 from flowscope.operators import quality as Q
 from flowscope.operators import sample as P
 from flowscope.operators.index import running_sums
-from flowscope.session import spread
+from flowscope.session import cut_lineage, spread
 
 
 def with_vector(df: DataFrame, features: str = "features", name: str = "_vec") -> DataFrame:
@@ -206,7 +206,8 @@ def two_means_1d(df: DataFrame, value: str, name: str = "side") -> DataFrame:
     values. One distinct value, or fewer than two rows, is a single cluster A.
     """
     x = quoted(value).cast("double")
-    counts = df.select(x.alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    counts = cut_lineage(values.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     sums = running_sums(counts, "x", {"cn": F.col("n"), "cs": F.col("n") * F.col("x")})
     total = counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"))
     t = total.select(F.struct("n", "s")).scalar()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.columns import quoted
 from flowscope.operators.index import checked_broadcast, running_sums
+from flowscope.session import cut_lineage
 
 
 def purity_loss(
@@ -123,7 +124,7 @@ def best_label_split(df: DataFrame, value: str, is_attack: Column) -> DataFrame:
     between distinct values and both orientations are compared by running sums over value counts.
     """
     x = quoted(value).cast("double")
-    counts = (
+    counts = cut_lineage(
         df.select(x.alias("x"), is_attack.alias("a"))
         .filter(F.col("x").isNotNull())
         .groupBy("x")

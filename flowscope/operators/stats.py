@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowscope.functions import columns as C
 from flowscope.functions.columns import quoted
 from flowscope.operators.index import running_sums, single_row
+from flowscope.session import cut_lineage
 
 BINS_PER_PASS = 2_048
 
@@ -69,7 +70,7 @@ def exact_quantiles(
             bin_no = F.least(F.floor(share * BINS_PER_PASS), F.lit(BINS_PER_PASS - 1)).cast("int")
             inside = (x >= F.lit(low)) & (x <= F.lit(high))
             entries.append(F.when(inside, F.struct(F.lit(s).alias("s"), bin_no.alias("b"), x.alias("x"))))
-        hits = df.select(F.explode(F.array_compact(F.array(*entries))).alias("h"))
+        hits = df.select(F.explode(F.array(*entries)).alias("h")).filter(F.col("h").isNotNull())
         bins = hits.groupBy("h.s", "h.b").agg(
             F.count(F.lit(1)).alias("n"), F.min("h.x").alias("lo"), F.max("h.x").alias("hi")
         )
@@ -209,7 +210,7 @@ def ks_statistic(df: DataFrame, column: str) -> DataFrame:
     """
     x = quoted(column).cast("double")
     rows = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     fit = single_row(
         counts.agg(
             F.sum("n").alias("n"),

@@ -17,6 +17,7 @@ from flowscope.operators import stats as T
 from flowscope.plans import bindings as B
 from flowscope.plans.q_report import CLUSTERED_SQL, clustered, rounded
 from flowscope.plans.registry import query
+from flowscope.session import spread
 
 DIMS = 64
 
@@ -94,7 +95,7 @@ def kmeans_one_step(spark, sf_dir):
 
 @query("kmeans_from_centroids")
 def kmeans_from_centroids(spark, sf_dir):
-    df = B.vectors(spark, sf_dir).persist()
+    df = spread(B.vectors(spark, sf_dir)).persist()
     centroids, _ = K.lloyd(df, centroids_of(df), max_iter=20)
     df.unpersist()
     return A.nearest(df.select("vec_id", "features"), centroids).groupBy("cluster").agg(
@@ -166,7 +167,7 @@ def mixture_em_step(spark, sf_dir):
 
 @query("mixture_from_means")
 def mixture_from_means(spark, sf_dir):
-    df = flow_vectors(spark, sf_dir).persist()
+    df = spread(flow_vectors(spark, sf_dir)).persist()
     start = np.array([[-1.0, -1.0, 0.0, 0.0], [1.0, 1.0, 0.0, 0.0]])
     m = M.fit_mixtures(df, start[None], 30, label="y")
     df.unpersist()
@@ -376,7 +377,7 @@ def swarm_centroid_search(spark, sf_dir):
 @query("bounded_swarm")
 def bounded_swarm(spark, sf_dir):
     """Threshold pair on duration and price with the fewest label errors, under an inequality."""
-    df = clustered(spark, sf_dir).select("Flow Duration", "Flow Bytes/s", "is_attack").persist()
+    df = spread(clustered(spark, sf_dir).select("Flow Duration", "Flow Bytes/s", "is_attack")).persist()
     evaluate = S.threshold_errors(df, ["Flow Duration", "Flow Bytes/s"], F.col("is_attack"))
     result = S.swarm(
         evaluate, np.array([0.0, 0.0]), np.array([51.0, 106_000.0]), 12, 8,
