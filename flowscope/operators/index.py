@@ -65,7 +65,7 @@ def with_row_index(
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     rows = sorted_rows.select("*", part)
-    if unique:
+    if unique or (sorted_rows.agg(F.max("_copies")).first()[0] or 1) == 1:
         low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
         return rows.join(checked_broadcast(offsets), "_part").select(*columns, (F.col("_offset") + low).alias(name))
     inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from flowscope.functions.columns import any_of, quoted
 from flowscope.operators.index import checked_broadcast, single_row
 
 HASH_RANGE = 1 << 40
-SLOTS = 1 << 14
+SLOTS = 1 << 16
 
 
 def hash_key(columns: Sequence[str], seed: int = 42) -> Column:
@@ -34,7 +34,7 @@ def _slot(key: Column, key_range: int, slots: int) -> Column:
     return F.floor(key / width).cast("bigint")
 
 
-def flag_by_rank(
+def rank_thresholds(
     df: DataFrame,
     by: Sequence[str],
     key: Column,
@@ -42,16 +42,18 @@ def flag_by_rank(
     quota: Column,
     key_range: int = HASH_RANGE,
     slots: int = SLOTS,
-    name: str = "selected",
 ) -> DataFrame:
-    """Mark the rows with the smallest ``key`` per stratum, exactly ``quota`` of them.
+    """The ``quota``-th smallest ``(key, ties...)`` of every stratum: ``(_by_0.., _threshold)``.
 
-    ``quota`` is a Column over ``n`` (rows in the stratum) and ``total`` (rows in the table).
-    ``ties`` settles equal keys and has to be unique inside a stratum.
+    Strata with quota 0 have no row. The result has one row per stratum and is computed here, so it
+    may be joined any number of times.
     """
-    strata = [quoted(b) for b in by]
-    keyed = df.withColumn("_key", key)
-    slotted = keyed.withColumn("_slot", _slot(F.col("_key"), key_range, slots))
+    renamed = {b: f"_by_{i}" for i, b in enumerate(by)}
+    strata = list(renamed.values())
+    place = F.struct(key.alias("key"), *[quoted(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    slotted = df.select(
+        *[quoted(b).alias(r) for b, r in renamed.items()], place.alias("_place"), _slot(key, key_range, slots).alias("_slot")
+    )
     sizes = slotted.groupBy(*strata, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*strata)
     upto = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,23 +64,48 @@ def flag_by_rank(
         .withColumn("_quota", quota.cast("bigint"))
         .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
         .select(
-            *strata,
+            *[F.col(r).alias(f"_cut{r}") for r in strata],
             F.col("_slot").alias("_cut"),
             (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rest"),
         )
     )
+    same = [F.col("_slot") == F.col("_cut"), *[F.col(r).eqNullSafe(F.col(f"_cut{r}")) for r in strata]]
+    edge = slotted.join(checked_broadcast(cuts), same)
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_place"))
+    found = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_rest"))
+    return checked_broadcast(found.select(*strata, F.col("_place").alias("_threshold")))
+
+
+def _below(df: DataFrame, by: Sequence[str], key: Column, ties: Sequence[str], thresholds: DataFrame, name: str) -> DataFrame:
+    """Flag the rows at or below the threshold of their stratum; narrow apart from a small join."""
+    place = F.struct(key.alias("key"), *[quoted(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    strata = [f"_by_{i}" for i in range(len(by))]
     if by:
-        renamed = checked_broadcast(cuts.withColumnsRenamed({b: f"_by_{i}" for i, b in enumerate(by)}))
-        same = [quoted(b).eqNullSafe(F.col(f"_by_{i}")) for i, b in enumerate(by)]
-        placed = slotted.join(renamed, same, "left").drop(*[f"_by_{i}" for i in range(len(by))])
+        same = [quoted(b).eqNullSafe(F.col(r)) for b, r in zip(by, strata, strict=True)]
+        joined = df.join(thresholds, same, "left")
     else:
-        placed = slotted.withColumn("_c", single_row(cuts)).select("*", "_c.*").drop("_c")
-    # Quota 0 leaves a stratum without a cut: none of its rows is selected.
-    cut_slot = F.coalesce(F.col("_cut"), F.lit(-1))
-    clear = placed.filter(F.col("_slot") != cut_slot).withColumn(name, F.col("_slot") < cut_slot)
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_key", *[quoted(t) for t in ties]))
-    edge = placed.filter(F.col("_slot") == cut_slot).withColumn(name, rank <= F.col("_rest"))
-    return clear.unionByName(edge).drop("_key", "_slot", "_cut", "_rest")
+        joined = df.withColumn("_threshold", single_row(thresholds)["_threshold"])
+    flag = F.coalesce(place <= F.col("_threshold"), F.lit(False))
+    return joined.withColumn(name, flag).drop("_threshold", *strata)
+
+
+def flag_by_rank(
+    df: DataFrame,
+    by: Sequence[str],
+    key: Column,
+    ties: Sequence[str],
+    quota: Column,
+    key_range: int = HASH_RANGE,
+    slots: int = SLOTS,
+    name: str = "selected",
+) -> DataFrame:
+    """Mark the rows with the smallest ``key`` per stratum, exactly ``quota`` of them.
+
+    ``quota`` is a Column over ``n`` (rows in the stratum) and ``total`` (rows in the table).
+    ``ties`` settles equal keys; rows equal in key and ties are taken or left together.
+    """
+    thresholds = rank_thresholds(df, by, key, ties, quota, key_range, slots)
+    return _below(df, by, key, ties, thresholds, name)
 
 
 def stratified_sample(
@@ -93,13 +120,19 @@ def stratified_sample(
 def bagged_sample(
     df: DataFrame, label: str, fraction: float, bags: int, ids: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """Distinct union of ``bags`` samples with different seeds, each stratified by ``label``.
+    """Distinct union of ``bags`` stratified samples with different seeds.
 
-    ``ids`` identify a row, so "drawn by any bag" is an OR per row and nothing is deduplicated by
-    shuffle. Every row of a label is drawn with the same chance, so labels keep their shares.
+    ``ids`` identify a row, so "drawn by any bag" is an OR per row over exact thresholds and nothing
+    is deduplicated by shuffle.
     """
-    drawn = [uniform([*ids, label], seed + bag) < fraction for bag in range(bags)]
-    return df.filter(any_of(drawn))
+    quota = F.round(F.col("n") * fraction)
+    out, drawn = df, []
+    for bag in range(bags):
+        key = hash_key(ids, seed + bag)
+        thresholds = rank_thresholds(df, [label], key, ids, quota)
+        out = _below(out, [label], key, ids, thresholds, f"_bag{bag}")
+        drawn.append(F.col(f"_bag{bag}"))
+    return out.filter(any_of(drawn)).drop(*[f"_bag{bag}" for bag in range(bags)])
 
 
 def sampling_ratio(sampled: DataFrame, original: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def sliding_entropy(
     """
     chunk = max(chunk or DEFAULT_CHUNK, window)
     pos = F.col(idx)
-    rows = with_halo(df.withColumn("_v", quoted(value)), idx, chunk, window - 1)
+    here = [*entity, "_chunk"]
+    # Placed by chunk once: both windows below then run without another shuffle.
+    rows = with_halo(df.withColumn("_v", quoted(value)), idx, chunk, window - 1).repartition(*here)
     moves = F.explode(
         F.array(
             F.struct(pos.alias("at"), F.lit(1).alias("step")),
@@ -46,7 +48,6 @@ def sliding_entropy(
         )
     )
     events = rows.withColumn("_m", moves)
-    here = [*entity, "_chunk"]
     running = (Window.unboundedPreceding, Window.currentRow)
     of_value = Window.partitionBy(*here, "_v").orderBy("_m.at", "_m.step").rowsBetween(*running)
     of_chunk = Window.partitionBy(*here).orderBy("_m.at", "_m.step").rowsBetween(*running)

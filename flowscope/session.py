@@ -53,13 +53,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BYTES_PER_PART = 128 << 20
+# The planner reports an absurd size where it knows none.
+UNKNOWN_BYTES = 1 << 60
+
+
+def known_bytes(df: DataFrame) -> int:
+    """Size of the tables below ``df`` as far as the planner knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly to all cores, once, before a table is kept and scanned many times.
 
-    A table that already comes in enough files is left as it is.
+    The number of parts follows the size of the source tables and is at least the number of cores. A
+    table that already comes in enough files is left as it is.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-known_bytes(df) // BYTES_PER_PART))
     if len(df._jdf.inputFiles()) >= parts:
         return df
     return df.repartition(parts)

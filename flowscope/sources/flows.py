@@ -81,7 +81,7 @@ def labelled_scan(
         df = reader.parquet(folder)
     except AnalysisException as error:
         raise FileNotFoundError(f"no readable file matches {pattern} in {folder}") from error
-    if not df.inputFiles():
+    if not len(df._jdf.inputFiles()):
         raise FileNotFoundError(f"no file matches {pattern} in {folder}")
     return df.select("*", file_label().alias(name))
 
