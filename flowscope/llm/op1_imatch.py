@@ -103,13 +103,14 @@ def ring(docs: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame, order: DataFrame) -> DataFrame:
     """``edited``: the last quarter of a text replaced by as much of the start of the next document."""
-    dealt = docs.repartition("doc")
+    # Both joins read the one exchange: rows without an id, which neither needs, would tell their plans apart.
+    dealt = docs.where("doc IS NOT NULL").repartition("doc")
     heads = dealt.join(order.select(F.col("next").alias("doc"), F.col("doc").alias("before"), "need"), "doc")
     heads = heads.select("before", F.expr("substring(body, 1, need)").alias("head")).groupBy("before").agg(F.min("head").alias("head"))
-    both = dealt.join(heads, dealt["doc"] == heads["before"], "left")
-    n = F.length("body")
-    edited = F.concat(F.expr("substring(body, 1, length(body) - length(body) div 4)"), F.coalesce(F.expr("substring(head, 1, length(body) div 4)"), F.lit("")))
-    return both.select("doc", n.cast("long").alias("n_chars"), "body", edited.alias("edited"))
+    both = dealt.join(heads, dealt["doc"] == heads["before"], "left").select("doc", "body", F.coalesce("head", F.lit("")).alias("head"))
+    both = both.unionByName(docs.where("doc IS NULL").withColumn("head", F.lit("")))
+    edited = F.concat(F.expr("substring(body, 1, length(body) - length(body) div 4)"), F.expr("substring(head, 1, length(body) div 4)"))
+    return both.select("doc", F.length("body").cast("long").alias("n_chars"), "body", edited.alias("edited"))
 
 
 def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
