@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.functions import columns as C
 from flowscope.functions.columns import quoted
 from flowscope.operators.index import running_sums
 from flowscope.session import cut_lineage
@@ -112,10 +113,12 @@ def binary_cells(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """``(threshold, tp, fp, tpr, fpr)``, one row per distinct score, from high to low.
 
-    Ties share a row, so the curve does not depend on row order; running sums are two-level.
+    Ties share a row, so the curve does not depend on row order; running sums are two-level. Rows
+    without a finite score are left out.
     """
     counts = cut_lineage(
-        df.select(quoted(score).cast("double").alias("threshold"), positive.alias("_y"))
+        df.select(C.finite_or_null(quoted(score).cast("double")).alias("threshold"), positive.alias("_y"))
+        .filter(F.col("threshold").isNotNull())
         .groupBy("threshold")
         .agg(F.count_if("_y").alias("_pos"), F.count_if(~F.col("_y")).alias("_neg"))
     )

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.functions import columns as C
 from flowscope.functions.columns import quoted
 from flowscope.operators import assign as A
 from flowscope.operators import quality as Q
@@ -35,16 +36,17 @@ def kmeans(
     """Best of ``restarts`` K-means runs by cost: (labelled table, centroids, cost)."""
     vectors = spread(with_vector(df.select(quoted(features)), features)).persist()
     try:
-        best = None
-        for run in range(restarts):
-            model = KMeans(k=k, maxIter=max_iter, seed=seed + run, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        centroids = np.array(best.clusterCenters())
-        cost = float(best.summary.trainingCost)
+        best = best_kmeans(vectors, k, restarts, max_iter, seed)
     finally:
         vectors.unpersist()
-    return _labelled(best, with_vector(df, features), cluster), centroids, cost
+    return _labelled(best, with_vector(df, features), cluster), np.array(best.clusterCenters()), float(best.summary.trainingCost)
+
+
+def best_kmeans(vectors: DataFrame, k: int, restarts: int, max_iter: int, seed: int) -> KMeansModel:
+    """The cheapest of ``restarts`` fits on a persisted table with ``_vec``."""
+    fits = KMeans(k=k, maxIter=max_iter, featuresCol="_vec", predictionCol="_cluster")
+    models = [fits.copy({fits.seed: seed + run}).fit(vectors) for run in range(restarts)]
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def lloyd(
@@ -101,6 +103,13 @@ def _ward_groups(means: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return np.searchsorted(alive, groups)
 
 
+def _ward_cells(vectors: DataFrame, k: int, micro: int, seed: int) -> tuple[KMeansModel, Column]:
+    """K-means cells of the rows, and the group of each cell as a constant array."""
+    model = KMeans(k=max(k, micro), maxIter=20, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
+    groups = _ward_groups(np.array(model.clusterCenters()), np.array(model.summary.clusterSizes), k)
+    return model, F.array(*[F.lit(int(g)) for g in groups])
+
+
 def hierarchical(
     df: DataFrame,
     k: int,
@@ -122,11 +131,9 @@ def hierarchical(
             return _labelled(model, with_vector(df, features), cluster)
         if method != "ward":
             raise ValueError(f"unknown method: {method}")
-        model = KMeans(k=max(k, micro), maxIter=20, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors)
+        model, cells = _ward_cells(vectors, k, micro, seed)
     finally:
         vectors.unpersist()
-    groups = _ward_groups(np.array(model.clusterCenters()), np.array(model.summary.clusterSizes), k)
-    cells = F.array(*[F.lit(int(g)) for g in groups])
     return _labelled(model, with_vector(df, features), "_cell").withColumn(
         cluster, cells[F.col("_cell")]
     ).drop("_cell")
@@ -203,9 +210,10 @@ def two_means_1d(df: DataFrame, value: str, name: str = "side") -> DataFrame:
     """Label rows A (low) or B (high) by the exact two-means split of one column.
 
     The best threshold minimises the within-group sum of squares over all cuts between distinct
-    values. One distinct value, or fewer than two rows, is a single cluster A.
+    values. One distinct value, or fewer than two rows, is a single cluster A. A row without a finite
+    value has no label.
     """
-    x = quoted(value).cast("double")
+    x = C.finite_or_null(quoted(value).cast("double"))
     values = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     counts = cut_lineage(values.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     sums = running_sums(counts, "x", {"cn": F.col("n"), "cs": F.col("n") * F.col("x")})
@@ -221,7 +229,7 @@ def two_means_1d(df: DataFrame, value: str, name: str = "side") -> DataFrame:
         .scalar()
     )
     return df.withColumn("_cut", cut).withColumn(
-        name, F.when(F.col("_cut").isNull() | (x <= F.col("_cut")), "A").when(x.isNotNull(), "B")
+        name, F.when(x.isNotNull() & (F.col("_cut").isNull() | (x <= F.col("_cut"))), "A").when(x.isNotNull(), "B")
     ).drop("_cut")
 
 
@@ -234,11 +242,12 @@ def sweep(
     features: str = "features",
 ) -> pd.DataFrame:
     """Metrics of a K-means for every ``k``; the largest silhouette is marked ``best``."""
-    data = spread(df.select(quoted(features).alias("features"))).persist()
+    data = spread(with_vector(df.select(quoted(features).alias("features")))).persist()
     try:
         rows = []
         for k in ks:
-            _, centroids, cost = kmeans(data, k, restarts, max_iter, seed)
+            model = best_kmeans(data, k, restarts, max_iter, seed)
+            centroids, cost = np.array(model.clusterCenters()), float(model.summary.trainingCost)
             scored = Q.score_population(data, centroids[None])
             rows.append(
                 (k, cost, *[float(scored[c][0]) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")])
@@ -252,20 +261,25 @@ def sweep(
 
 def compare(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> pd.DataFrame:
     """Metrics of K-means, the hierarchy and the mixture side by side."""
-    data = spread(df.select(quoted(features).alias("features"))).persist()
+    vectors = spread(with_vector(df.select(quoted(features).alias("features")))).persist()
+    held = vectors
     try:
-        labelled = {
-            "kmeans": kmeans(data, k, 1, seed=seed)[0],
-            "hierarchical": hierarchical(data, k, seed=seed),
-            "gaussian_mixture": gaussian_mixture(data, k, seed=seed)[0],
-        }
+        cells, groups = _ward_cells(vectors, k, 100, seed)
+        mixture = GaussianMixture(k=k, maxIter=100, seed=seed, featuresCol="_vec", predictionCol="_cluster", probabilityCol="_prob").fit(vectors)
+        table = best_kmeans(vectors, k, 1, 300, seed).transform(vectors).withColumnRenamed("_cluster", "kmeans")
+        table = cells.transform(table).withColumn("hierarchical", groups[F.col("_cluster")]).drop("_cluster")
+        table = mixture.transform(table).withColumnRenamed("_cluster", "gaussian_mixture")
+        # All labels in one pass over the vectors; the metrics then read the labels only.
+        names = ["kmeans", "hierarchical", "gaussian_mixture"]
+        held = table.select("features", *names).persist()
         tables = []
-        for name, table in labelled.items():
-            metrics = Q.labelled_metrics(table, "cluster")
+        for name in names:
+            metrics = Q.labelled_metrics(held.select("features", F.col(name).alias("cluster")), "cluster")
             metrics.insert(0, "algorithm", name)
             tables.append(metrics)
     finally:
-        data.unpersist()
+        held.unpersist()
+        vectors.unpersist()
     return pd.concat(tables, ignore_index=True).drop(columns="candidate")
 
 

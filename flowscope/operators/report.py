@@ -105,14 +105,14 @@ def traffic_aggregates(
 
 
 def phase_means(
-    windows: DataFrame, idx: str, phases: Mapping[str, tuple[int, int]], measures: Sequence[str]
+    windows: DataFrame, idx: str, phases: Mapping[str, tuple[int, int | None]], measures: Sequence[str]
 ) -> DataFrame:
-    """Mean of each measure over named window ranges ``[start, end)``; ranges may overlap."""
+    """Mean of each measure over named window ranges ``[start, end)``; ranges may overlap, and end open."""
     if not phases:
         raise ValueError("no phases given")
     hits = F.array_compact(
         F.array(
-            *[F.when((F.col(idx) >= a) & (F.col(idx) < b), F.lit(name)) for name, (a, b) in phases.items()]
+            *[F.when((F.col(idx) >= a) & (F.lit(True) if b is None else F.col(idx) < b), F.lit(name)) for name, (a, b) in phases.items()]
         )
     )
     return (

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.functions import columns as C
 from flowscope.functions.columns import quoted
 from flowscope.operators.index import checked_broadcast, running_sums
 from flowscope.session import cut_lineage
@@ -122,8 +123,9 @@ def best_label_split(df: DataFrame, value: str, is_attack: Column) -> DataFrame:
 
     ``(threshold, attack_above, errors, n)``: rows above the threshold form one cluster. Every cut
     between distinct values and both orientations are compared by running sums over value counts.
+    Rows without a finite value are left out.
     """
-    x = quoted(value).cast("double")
+    x = C.finite_or_null(quoted(value).cast("double"))
     counts = cut_lineage(
         df.select(x.alias("x"), is_attack.alias("a"))
         .filter(F.col("x").isNotNull())

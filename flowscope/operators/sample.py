@@ -2,7 +2,9 @@
 
 Exact quotas need the rank of a row in its stratum. A window per stratum would sort a hot label in
 one task, so ranks are cut on a histogram of the hash instead: whole hash slots are in or out, and
-only the one slot that the quota falls into is ranked row by row.
+only the one slot that the quota falls into is looked at by value, with equal rows counted as one.
+Rows that repeat are told apart by number: where the quota falls among copies of one row, as many of
+them are taken as are missing.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from flowscope.operators.index import checked_broadcast, single_row
 
 HASH_RANGE = 1 << 40
 SLOTS = 1 << 16
+# Rows of a stratum in one slot above which the slot is cut once more before its values are ordered.
+FULL_SLOT = 1_000_000
+# Copies of one row that a task writes out.
+COPIES = 100_000
 
 
 def hash_key(columns: Sequence[str], seed: int = 42) -> Column:
@@ -43,50 +49,88 @@ def rank_thresholds(
     key_range: int = HASH_RANGE,
     slots: int = SLOTS,
 ) -> DataFrame:
-    """The ``quota``-th smallest ``(key, ties...)`` of every stratum: ``(_by_0.., _threshold)``.
+    """The ``quota``-th smallest ``(key, ties...)`` of every stratum: ``(_by_0.., _threshold, _take, _copies)``.
 
-    Strata with quota 0 have no row. The result has one row per stratum and is computed here, so it
-    may be joined any number of times.
+    Of the ``_copies`` rows at the threshold, ``_take`` lie within the quota. Strata with quota 0 have
+    no row. The result has one row per stratum and is computed here, so it may be joined any number
+    of times.
     """
     renamed = {b: f"_by_{i}" for i, b in enumerate(by)}
     strata = list(renamed.values())
-    place = F.struct(key.alias("key"), *[quoted(t).alias(f"t{i}") for i, t in enumerate(ties)])
-    slotted = df.select(
-        *[quoted(b).alias(r) for b, r in renamed.items()], place.alias("_place"), _slot(key, key_range, slots).alias("_slot")
-    )
+    placed = df.select(*[quoted(b).alias(r) for b, r in renamed.items()], _place(key, ties).alias("_place"))
+    slotted = placed.withColumn("_slot", _slot(F.col("_place.key"), key_range, slots))
     sizes = slotted.groupBy(*strata, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*strata)
-    upto = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     table = sizes.agg(F.sum("_n").alias("t")).scalar()
-    cuts = (
-        sizes.withColumns({"n": F.sum("_n").over(whole), "_upto": F.sum("_n").over(upto)})
-        .withColumn("total", table)
-        .withColumn("_quota", quota.cast("bigint"))
-        .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
-        .select(
-            *[F.col(r).alias(f"_cut{r}") for r in strata],
-            F.col("_slot").alias("_cut"),
-            (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rest"),
-        )
+    wanted = sizes.withColumns({"n": F.sum("_n").over(Window.partitionBy(*strata)), "total": table})
+    cuts = checked_broadcast(_cut(wanted.withColumn("_rest", quota.cast("bigint")), strata, "_slot"))
+    edge = _inside(slotted, cuts, strata, "_slot")
+    width = max(1, -(-key_range // slots))
+    if width > 1 and cuts.filter(F.col("_n") > FULL_SLOT).limit(1).count():
+        fine = edge.withColumn("_fine", _slot(F.pmod(F.col("_place.key"), F.lit(width)), width, slots))
+        sizes = fine.groupBy(*strata, "_rest", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+        cuts = checked_broadcast(_cut(sizes, strata, "_fine"))
+        edge = _inside(fine.drop("_rest"), cuts, strata, "_fine")
+    values = edge.groupBy(*strata, "_rest", "_place").agg(F.count(F.lit(1)).alias("_n"))
+    found = _cut(values, strata, "_place")
+    return checked_broadcast(
+        found.select(*strata, F.col("_place").alias("_threshold"), F.col("_rest").alias("_take"), F.col("_n").alias("_copies"))
     )
-    same = [F.col("_slot") == F.col("_cut"), *[F.col(r).eqNullSafe(F.col(f"_cut{r}")) for r in strata]]
-    edge = slotted.join(checked_broadcast(cuts), same)
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_place"))
-    found = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_rest"))
-    return checked_broadcast(found.select(*strata, F.col("_place").alias("_threshold")))
+
+
+def _place(key: Column, ties: Sequence[str]) -> Column:
+    return F.struct(key.alias("key"), *[quoted(t).alias(f"t{i}") for i, t in enumerate(ties)])
+
+
+def _cut(counts: DataFrame, strata: list[str], at: str) -> DataFrame:
+    """The value of ``at`` in which the ``_rest``-th row of each stratum falls, and the rest within it."""
+    upto = Window.partitionBy(*strata).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = counts.withColumn("_upto", F.sum("_n").over(upto))
+    found = found.filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest")))
+    return found.select(*strata, at, (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"), "_n")
+
+
+def _inside(rows: DataFrame, cuts: DataFrame, strata: list[str], at: str) -> DataFrame:
+    """Rows in the slot of their stratum that a cut names, with the rest."""
+    named = cuts.select(*[F.col(r).alias(f"_cut{r}") for r in strata], F.col(at).alias("_cut"), "_rest")
+    same = [F.col(at) == F.col("_cut"), *[F.col(r).eqNullSafe(F.col(f"_cut{r}")) for r in strata]]
+    return rows.join(named, same).select(*rows.columns, "_rest")
 
 
 def _below(df: DataFrame, by: Sequence[str], key: Column, ties: Sequence[str], thresholds: DataFrame, name: str) -> DataFrame:
-    """Flag the rows at or below the threshold of their stratum; narrow apart from a small join."""
-    place = F.struct(key.alias("key"), *[quoted(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    """Flag the rows within the quota of their stratum; narrow apart from a small join.
+
+    Only where a quota falls among copies of a row are those copies counted and written out again,
+    ``COPIES`` a task.
+    """
     strata = [f"_by_{i}" for i in range(len(by))]
+    added = ["_threshold", "_take", "_copies"]
     if by:
         same = [quoted(b).eqNullSafe(F.col(r)) for b, r in zip(by, strata, strict=True)]
-        joined = df.join(thresholds, same, "left")
+        joined = df.join(thresholds, same, "left").drop(*strata)
     else:
-        joined = df.withColumn("_threshold", single_row(thresholds)["_threshold"])
-    flag = F.coalesce(place <= F.col("_threshold"), F.lit(False))
-    return joined.withColumn(name, flag).drop("_threshold", *strata)
+        row = single_row(thresholds)
+        joined = df.withColumns({a: row[a] for a in added})
+    place, whole = _place(key, ties), F.col("_take") == F.col("_copies")
+    flag = (place < F.col("_threshold")) | ((place == F.col("_threshold")) & whole)
+    flagged = joined.withColumn(name, F.coalesce(flag, F.lit(False)))
+    if not thresholds.filter(~whole).limit(1).count():
+        return flagged.drop(*added)
+    split = F.coalesce((place == F.col("_threshold")) & ~whole, F.lit(False))
+    columns = [quoted(c) for c in df.columns]
+    alike = joined.filter(split).groupBy("_threshold", "_take", *columns).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_threshold", *[quoted(b) for b in by]).orderBy(*columns)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = alike.withColumn("_before", before).withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    number = F.explode(F.expr(f"sequence(_part * {COPIES}, least(_n, (_part + 1) * {COPIES}) - 1)"))
+    copies = parts.repartition(*columns, "_part").withColumn("_number", number)
+    copies = copies.select(*columns, (F.col("_before") + F.col("_number") < F.col("_take")).alias(name))
+    return flagged.filter(~split).select(*columns, name).unionByName(copies)
+
+
+def all_ties(df: DataFrame, ids: Sequence[str]) -> list[str]:
+    """``ids`` and then all other columns that can be ordered, so that only copies of a row stay tied."""
+    plain = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))]
+    return [*ids, *[c for c in plain if c not in ids]]
 
 
 def flag_by_rank(
@@ -102,8 +146,9 @@ def flag_by_rank(
     """Mark the rows with the smallest ``key`` per stratum, exactly ``quota`` of them.
 
     ``quota`` is a Column over ``n`` (rows in the stratum) and ``total`` (rows in the table).
-    ``ties`` settles equal keys; rows equal in key and ties are taken or left together.
+    ``ties`` settles equal keys, then all other columns do; copies of a row are taken by number.
     """
+    ties = all_ties(df, ties)
     thresholds = rank_thresholds(df, by, key, ties, quota, key_range, slots)
     return _below(df, by, key, ties, thresholds, name)
 
@@ -122,15 +167,15 @@ def bagged_sample(
 ) -> DataFrame:
     """Distinct union of ``bags`` stratified samples with different seeds.
 
-    ``ids`` identify a row, so "drawn by any bag" is an OR per row over exact thresholds and nothing
-    is deduplicated by shuffle.
+    "Drawn by any bag" is an OR per row over exact thresholds; nothing is deduplicated by shuffle.
     """
     quota = F.round(F.col("n") * fraction)
+    ties = all_ties(df, ids)
     out, drawn = df, []
     for bag in range(bags):
         key = hash_key(ids, seed + bag)
-        thresholds = rank_thresholds(df, [label], key, ids, quota)
-        out = _below(out, [label], key, ids, thresholds, f"_bag{bag}")
+        thresholds = rank_thresholds(df, [label], key, ties, quota)
+        out = _below(out, [label], key, ties, thresholds, f"_bag{bag}")
         drawn.append(F.col(f"_bag{bag}"))
     return out.filter(any_of(drawn)).drop(*[f"_bag{bag}" for bag in range(bags)])
 

@@ -96,11 +96,15 @@ def exact_quantiles(
 
 
 def zscore_filter(df: DataFrame, features: Sequence[str], limit: float = 3.0) -> DataFrame:
-    """Keep rows with ``|z| < limit`` in every feature; a constant feature passes."""
+    """Keep rows with ``|z| < limit`` in every feature; a constant feature passes.
+
+    Mean and deviation are those of the finite values. A row without a finite value in a feature is
+    dropped, unless the feature is constant.
+    """
     stats = single_row(
         df.agg(
             *[
-                F.struct(F.avg(quoted(f)).alias("mu"), F.stddev_pop(quoted(f)).alias("sd")).alias(f"s{i}")
+                F.struct(F.avg(C.finite_or_null(quoted(f))).alias("mu"), F.stddev_pop(C.finite_or_null(quoted(f))).alias("sd")).alias(f"s{i}")
                 for i, f in enumerate(features)
             ]
         )
@@ -150,7 +154,7 @@ def fit_standard_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
     """Mean and population deviation; a constant column is only centred."""
     row = df.agg(
         *[
-            F.struct(F.avg(quoted(f)).alias("mu"), F.stddev_pop(quoted(f)).alias("sd")).alias(f"s{i}")
+            F.struct(F.avg(C.finite_or_null(quoted(f))).alias("mu"), F.stddev_pop(C.finite_or_null(quoted(f))).alias("sd")).alias(f"s{i}")
             for i, f in enumerate(features)
         ]
     ).first()
@@ -206,9 +210,10 @@ def _normal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
 def ks_statistic(df: DataFrame, column: str) -> DataFrame:
     """``(n, mu, sigma, d)``: distance of a column from the normal law fitted to it.
 
-    Works on value counts and two-level running sums, so neither ties nor size matter.
+    Works on value counts and two-level running sums, so neither ties nor size matter. Only finite
+    values count.
     """
-    x = quoted(column).cast("double")
+    x = C.finite_or_null(quoted(column).cast("double"))
     rows = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     counts = cut_lineage(rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     fit = single_row(
@@ -241,7 +246,7 @@ def normality_test(df: DataFrame, column: str, level: float = 0.05) -> DataFrame
 
     The parameters come from the same data, so the p-value is optimistic; read ``d`` as well.
     """
-    rows = df.select(quoted(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    rows = df.select(C.finite_or_null(quoted(column).cast("double")).alias("x")).filter(F.col("x").isNotNull())
     mu, sigma = rows.agg(F.avg("x"), F.stddev_pop("x")).first()
     if not sigma:
         raise ValueError("a constant column has no normal fit")

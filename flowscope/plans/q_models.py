@@ -37,6 +37,21 @@ pr AS (SELECT event_id, event_type AS truth, CASE WHEN event_id % 5 = 0 THEN 'cl
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 
+@query(
+    "auc_with_gaps",
+    """WITH s AS (SELECT event_type = 'error' AS y, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS x FROM events),
+       c AS (SELECT x, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM s WHERE x IS NOT NULL GROUP BY x),
+       r AS (SELECT p, n, sum(p) OVER (ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c)
+       SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM r""",
+)
+def auc_with_gaps(spark, sf_dir):
+    """Area under the curve of scores that are NaN or infinite in some rows."""
+    k, x = F.col("event_id"), F.col("value")
+    broken = F.when(k % 7 == 0, float("nan")).when(k % 11 == 0, float("inf")).otherwise(x)
+    df = B.table(spark, sf_dir, "events").withColumn("x", broken)
+    return rounded(V.auc(df, "x", F.col("event_type") == "error"), "auc")
+
+
 def predictions(spark, sf_dir):
     k = F.col("event_id")
     guess = F.when(k % 5 == 0, "click").when(k % 7 == 0, "error").otherwise(F.col("event_type"))

@@ -121,12 +121,12 @@ def traffic_aggregates(spark, sf_dir):
     "phase_means",
     """WITH c AS (SELECT event_id // 100 AS window_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
        w AS (SELECT window_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM c GROUP BY 1),
-       p AS (SELECT * FROM (VALUES ('early', 0, 30), ('middle', 20, 70), ('late', 70, 1000000)) t(phase, a, b))
-       SELECT phase, count(*) AS windows, round(avg(h), 6) AS event_type_shannon FROM w JOIN p ON window_id >= a AND window_id < b GROUP BY phase""",
+       p AS (SELECT * FROM (VALUES ('early', 0, 30), ('middle', 20, 70), ('late', 70, NULL)) t(phase, a, b))
+       SELECT phase, count(*) AS windows, round(avg(h), 6) AS event_type_shannon FROM w JOIN p ON window_id >= a AND (b IS NULL OR window_id < b) GROUP BY phase""",
 )
 def phase_means(spark, sf_dir):
     w = W.tumbling_entropy(B.table(spark, sf_dir, "events"), "event_id", ["event_type"], metrics=["shannon"], as_type="string")
-    phases = {"early": (0, 30), "middle": (20, 70), "late": (70, 1_000_000)}
+    phases = {"early": (0, 30), "middle": (20, 70), "late": (70, None)}
     return rounded(R.phase_means(w, "window_id", phases, ["event_type_shannon"]), "event_type_shannon")
 
 

@@ -34,6 +34,22 @@ def stratified_fraction(spark, sf_dir):
     return kept.groupBy(F.col("Family").alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stratified_repeated_rows",
+    """WITH c AS (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL),
+       r AS (SELECT *, CAST(l_quantity AS BIGINT) * 7919 % 10007 AS k, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM c),
+       u AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY k, l_quantity, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+       SELECT l_returnflag, l_linestatus, l_quantity, CAST(greatest(0, least(n, ceil(round(total * 0.25, 6)) - (upto - n))) AS BIGINT) AS n_test,
+         CAST(n AS BIGINT) AS n FROM u""",
+)
+def stratified_repeated_rows(spark, sf_dir):
+    """A split of rows that repeat thousands of times: the quota holds within the copies."""
+    df = B.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    key = F.pmod(F.col("l_quantity").cast("bigint") * 7919, F.lit(MODULUS))
+    flagged = P.stratified_split(df, "l_returnflag", 0.25, ["l_quantity"], key, MODULUS)
+    return flagged.groupBy(*df.columns).agg(F.count_if("is_test").alias("n_test"), F.count(F.lit(1)).alias("n"))
+
+
 @query("bagged_fraction")
 def bagged_fraction(spark, sf_dir):
     df = B.flows(spark, sf_dir)

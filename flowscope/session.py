@@ -30,14 +30,16 @@ def local_session(app: str = "flowscope", cores: str = "*", **conf: str) -> Spar
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without that setting gets a
-    temporary folder, which is right for one machine and for nothing else.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session may do without that
+    setting and gets a temporary folder; executors elsewhere would not see such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowscope-"))
     return sc.getCheckpointDir()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowscope.functions import entropy as E
 from flowscope.functions.columns import quoted
@@ -50,20 +51,50 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame
     return spark.read.schema(stream.schema).parquet(out), query
 
 
-def accounting(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Latency and throughput per micro-batch, from the engine's own progress reports."""
-    rows = []
-    for p in query.recentProgress:
-        n = int(p["numInputRows"])
-        spent = p["durationMs"]
+class BatchLog(StreamingQueryListener):
+    """Progress of every micro-batch of the queries that run while it listens (one tuple a batch)."""
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], tuple] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        n, spent = int(p.numInputRows), p.durationMs
         total = int(spent.get("triggerExecution", 0))
-        rows.append(
-            (int(p["batchId"]), n, total, int(spent.get("addBatch", 0)), total / n if n else None, n / total if total else None)
+        self.batches[str(p.runId), int(p.batchId)] = (
+            int(p.batchId), n, total, int(spent.get("addBatch", 0)), total / n if n else None, n / total if total else None
         )
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
 
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, patience: float = 30.0) -> list[tuple]:
+        """All batches of an ended query; progress arrives a little later than the end."""
+        run, until = str(query.runId), time.monotonic() + patience
+        while run not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return [row for (r, _), row in sorted(self.batches.items()) if r == run]
 
-def amortised_cost(batches: DataFrame, cluster_ms: float, batch_size: int) -> DataFrame:
+
+def logged(spark: SparkSession, run: Callable[[], tuple[DataFrame, StreamingQuery]]) -> tuple[DataFrame, DataFrame]:
+    """Run a stream to its end; its output, and latency and throughput of every micro-batch."""
+    log = BatchLog()
+    spark.streams.addListener(log)
+    try:
+        out, query = run()
+        return out, spark.createDataFrame(log.of(query), PROGRESS_SCHEMA)
+    finally:
+        spark.streams.removeListener(log)
+
+
+def amortised_cost(batches: DataFrame, cluster_ms: float, batch_size: float) -> DataFrame:
     """``(rows, ms_per_row, amortised_ms)``: cost per row plus the clustering share of each row."""
     return batches.agg(
         F.sum("rows").alias("rows"), F.try_divide(F.sum("trigger_ms"), F.sum("rows")).alias("ms_per_row")
@@ -110,16 +141,19 @@ def cluster_batch(batch: DataFrame, features: Sequence[str], k: int = 2, seed: i
 def cluster_stream(
     stream: DataFrame, features: Sequence[str], k: int = 2, min_rows: int = 2, seed: int = 42
 ) -> tuple[DataFrame, StreamingQuery]:
-    """Cluster every micro-batch by itself; a rerun of a batch overwrites its own output."""
+    """Cluster every micro-batch by itself; a rerun of a batch overwrites its own output.
+
+    The rows of a batch of fewer than ``min_rows`` come out with a null cluster.
+    """
     spark = stream.sparkSession
     out, state = scratch_path(spark, "clusters"), scratch_path(spark, "clusters-state")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            if held.limit(min_rows).count() >= min_rows:
-                labelled = cluster_batch(held, features, k, seed)
-                labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            enough = held.limit(min_rows).count() >= min_rows
+            labelled = cluster_batch(held, features, k, seed) if enough else held.withColumn("cluster", F.lit(None).cast("int"))
+            labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
             held.unpersist()
 

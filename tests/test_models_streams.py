@@ -93,7 +93,7 @@ def feed(spark, tmp_path_factory):
 def test_stream_equals_batch(spark, feed):
     path, df = feed
     stream = S.read_stream(spark, path, df.schema, "*.parquet")
-    out, run = S.drain(stream_sliding_entropy(stream, "e", "x", ["i"], ["i"], 32), "t")
+    out, cost = S.logged(spark, lambda: S.drain(stream_sliding_entropy(stream, "e", "x", ["i"], ["i"], 32), "t"))
     got = {(r["e"], r["i"]): r["entropy"] for r in out.collect()}
     batch = W.sliding_histogram_entropy(with_entity_index(df, ["e"], ["i"], unique=True), "row_idx", "x", 32, entity=["e"])
     want = {(r["e"], r["i"]): r["entropy"] for r in batch.collect()}
@@ -102,11 +102,15 @@ def test_stream_equals_batch(spark, feed):
         assert got[key] == (None if value is None else pytest.approx(value, abs=1e-9))
     hot, _ = batch_sliding_entropy(stream, "e", "x", ["i"], ["i"], 32)
     assert {(r["e"], r["i"]): r["entropy"] for r in hot.collect()} == pytest.approx(want, abs=1e-9, nan_ok=True)
-    cost = S.accounting(run, spark)
     assert cost.agg(F.sum("rows")).first()[0] == 1200
     assert S.amortised_cost(cost, 10.0, 1024).first()["amortised_ms"] > 0
 
 
+def test_deep_trees_are_refused():
+    with pytest.raises(ValueError, match="at most 30"):
+        M.forest(5, 50)
+
+
 def test_stream_clusters_every_batch(spark, feed):
     path, df = feed
     out, _ = S.cluster_stream(S.read_stream(spark, path, df.schema, "*.parquet"), ["x", "i"])
@@ -114,6 +118,23 @@ def test_stream_clusters_every_batch(spark, feed):
     assert {r["cluster"] for r in out.select("cluster").distinct().collect()} <= {0, 1}
 
 
+def test_small_batches_keep_their_rows(spark, tmp_path):
+    path = str(tmp_path / "small")
+    for rows in (50, 1):
+        spark.range(rows).selectExpr("id", "id * 1.0 AS x").coalesce(1).write.mode("append").parquet(path)
+    out, _ = S.cluster_stream(S.read_stream(spark, path, spark.read.parquet(path).schema, "*.parquet"), ["x"])
+    assert out.count() == 51 and out.filter("cluster IS NULL").count() == 1
+
+
+def test_long_streams_are_accounted_for(spark, tmp_path):
+    """More batches than the engine's own list of recent progress holds."""
+    path = str(tmp_path / "many")
+    spark.range(105).coalesce(1).write.option("maxRecordsPerFile", 1).parquet(path)
+    stream = S.read_stream(spark, path, spark.read.parquet(path).schema, "*.parquet")
+    _, log = S.logged(spark, lambda: S.drain(stream, "many"))
+    assert log.agg(F.sum("rows")).first()[0] == 105 and log.filter("rows > 0").count() == 105
+
+
 def test_time_windows(spark):
     rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "b"), ("2024-01-01 07:00:00", "a")]
     df = spark.createDataFrame(rows, "t string, v string").withColumn("t", F.col("t").cast("timestamp"))
