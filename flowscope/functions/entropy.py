@@ -32,12 +32,13 @@ def shannon_guarded(p: Column, eps: float = LOG_GUARD) -> Column:
     return _clean(-F.sum(p * F.log2(p + F.lit(eps))))
 
 
-def shannon_smoothed(n: Column, total: Column, bins: int, smoothing: float, base: float) -> Column:
+def shannon_smoothed(n: Column, total: Column, bins: int, smoothing: float, base: float, renormalise: bool = True) -> Column:
     """Entropy of a histogram of ``bins`` bins with ``smoothing`` added to every share.
 
-    Shares are renormalised. ``n`` are the filled bins; the empty ones are counted in.
+    Shares are renormalised unless told otherwise. ``n`` are the filled bins; the empty ones are
+    counted in.
     """
-    norm = 1.0 + bins * smoothing
+    norm = 1.0 + bins * smoothing if renormalise else 1.0
 
     def term(share: Column) -> Column:
         p = (share + F.lit(smoothing)) / F.lit(norm)
@@ -47,13 +48,14 @@ def shannon_smoothed(n: Column, total: Column, bins: int, smoothing: float, base
     return _clean(F.sum(term(n / total)) + empty * term(F.lit(0.0)))
 
 
-def renyi(n: Column, alpha: float = 2.0) -> Column:
-    """Renyi entropy from counts: ``(log2 sum n^a - a log2 N) / (1 - a)``, one pass."""
+def renyi(n: Column, alpha: float = 2.0, base: float = 2.0) -> Column:
+    """Renyi entropy from counts: ``(log2 sum n^a - a log2 N) / (1 - a)``, one pass, in ``log base``."""
+    unit = F.lit(math.log2(base))
     if alpha == 1.0:
-        return shannon(n)
+        return shannon(n) / unit
     total = F.sum(n).cast("double")
     moment = F.log2(F.sum(F.pow(n.cast("double"), F.lit(alpha))))
-    return _clean((moment - F.lit(alpha) * F.log2(total)) / F.lit(1.0 - alpha))
+    return _clean((moment - F.lit(alpha) * F.log2(total)) / F.lit(1.0 - alpha) / unit)
 
 
 def min_entropy(n: Column) -> Column:

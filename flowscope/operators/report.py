@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from flowscope.functions.columns import quoted
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """``(column, n, pct)``: counts and share of the table in percent."""
+    """``(column, n, pct)``: counts and share of the table in percent, in no particular order."""
     counts = df.groupBy(quoted(column)).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).orderBy(
-        F.desc("n"), quoted(column)
-    )
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def share_within(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,26 +21,35 @@ def histogram_bin(x: Column, bins: int = 50) -> Column:
     return F.least(F.greatest(F.floor(x * bins), F.lit(0)), F.lit(bins - 1)).cast("bigint")
 
 
-def sliding_entropy(
+def sliding_entropies(
     df: DataFrame,
     idx: str,
     value: str,
     window: int,
+    metrics: dict[str, str],
     entity: Sequence[str] = (),
     chunk: int | None = None,
-    name: str = "entropy",
+    alpha: float = 2.0,
+    base: float = 2.0,
 ) -> DataFrame:
-    """Shannon entropy of the last ``window`` rows at every row; null while the window is short.
+    """Entropies of the last ``window`` rows at every row; null while the window is short.
 
-    Each row enters its window at its position and leaves it ``window`` positions later. The change
-    that an event makes to ``sum(n log2 n)`` depends only on the count of its value at that moment,
-    so two running sums give every window in time independent of ``window``. All of it stays in the
-    JVM; one shuffle places the chunks.
+    ``metrics`` names the columns of ``shannon``, ``renyi`` (of order ``alpha``) and ``min_entropy``,
+    any of them, in units of ``log base``. Each row enters its window at its position and leaves it
+    ``window`` positions later. What an event changes in ``sum(n log2 n)`` and ``sum(n^alpha)``
+    depends only on the count of its value at that moment. The largest count is the number of levels
+    that some value reaches, and an event changes one level. Running sums therefore give every window
+    in time independent of ``window``. All of it stays in the JVM; one shuffle places the chunks.
     """
+    unknown = set(metrics) - {"shannon", "renyi", "min_entropy"}
+    if unknown or not metrics:
+        raise ValueError(f"unknown metrics: {sorted(unknown)}" if unknown else "no metrics given")
+    if "renyi" in metrics and alpha == 1.0:
+        raise ValueError("the order of a Renyi entropy is not 1; take shannon")
     chunk = max(chunk or DEFAULT_CHUNK, window)
     pos = F.col(idx)
     here = [*entity, "_chunk"]
-    # Placed by chunk once: both windows below then run without another shuffle.
+    # Placed by chunk once: the windows below then run without another shuffle.
     rows = with_halo(df.withColumn("_v", quoted(value)), idx, chunk, window - 1).repartition(*here)
     moves = F.explode(
         F.array(
@@ -48,28 +58,69 @@ def sliding_entropy(
         )
     )
     events = rows.withColumn("_m", moves)
-    running = (Window.unboundedPreceding, Window.currentRow)
-    of_value = Window.partitionBy(*here, "_v").orderBy("_m.at", "_m.step").rowsBetween(*running)
-    of_chunk = Window.partitionBy(*here).orderBy("_m.at", "_m.step").rowsBetween(*running)
-    count = F.sum("_m.step").over(of_value).cast("double")
 
-    def n_log_n(n: Column) -> Column:
-        return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    def running(col: Column, *by: str) -> Column:
+        w = Window.partitionBy(*here, *by).orderBy("_m.at", "_m.step")
+        return F.sum(F.when(F.col("_v").isNotNull(), col)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     enters = F.col("_m.step") == 1
-    change = F.when(enters, n_log_n(count) - n_log_n(count - 1)).otherwise(
-        n_log_n(count) - n_log_n(count + 1)
-    )
-    total = F.sum(F.when(F.col("_v").isNotNull(), F.col("_change"))).over(of_chunk)
-    size = F.sum(F.when(F.col("_v").isNotNull(), F.col("_m.step")).otherwise(F.lit(0))).over(of_chunk)
-    bits = F.log2(F.col("_size").cast("double")) - F.col("_total") / F.col("_size")
-    value_col = F.when(pos >= window - 1, F.greatest(F.lit(0.0), F.coalesce(bits, F.lit(0.0))))
-    return (
-        events.withColumn("_change", change)
-        .withColumns({"_total": total, "_size": size})
-        .filter(enters & F.col("_owned"))
-        .select(*df.columns, value_col.alias(name))
-    )
+    events = events.withColumn("_n", running(F.col("_m.step"), "_v").cast("double"))
+
+    def change(power) -> Column:
+        now, other = power(F.col("_n")), power(F.when(enters, F.col("_n") - 1).otherwise(F.col("_n") + 1))
+        return now - other
+
+    sums = {"_size": running(F.col("_m.step"))}
+    if "shannon" in metrics:
+        sums["_logs"] = running(change(lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))))
+    if "renyi" in metrics:
+        sums["_powers"] = running(change(lambda n: F.when(n > 0, F.pow(n, F.lit(alpha))).otherwise(F.lit(0.0))))
+    if "min_entropy" in metrics:
+        # The level that a value comes to when it enters, and gives up when it leaves.
+        events = events.withColumn("_level", F.when(enters, F.col("_n")).otherwise(F.col("_n") + 1))
+        events = events.withColumn("_reached", running(F.col("_m.step"), "_level"))
+        step = F.when(enters, F.when(F.col("_reached") == 1, 1).otherwise(0)).otherwise(F.when(F.col("_reached") == 0, -1).otherwise(0))
+        sums["_top"] = running(step)
+    size, unit = F.col("_size").cast("double"), F.lit(math.log2(base))
+    forms = {
+        "shannon": lambda: F.log2(size) - F.col("_logs") / size,
+        "renyi": lambda: (F.log2(F.col("_powers")) - F.lit(alpha) * F.log2(size)) / F.lit(1.0 - alpha),
+        "min_entropy": lambda: F.log2(size) - F.log2(F.col("_top").cast("double")),
+    }
+    full = pos >= window - 1
+    out = [F.when(full, F.greatest(F.lit(0.0), F.coalesce(forms[m]() / unit, F.lit(0.0)))).alias(name) for m, name in metrics.items()]
+    return events.withColumns(sums).filter(enters & F.col("_owned")).select(*df.columns, *out)
+
+
+def sliding_entropy(
+    df: DataFrame,
+    idx: str,
+    value: str,
+    window: int,
+    entity: Sequence[str] = (),
+    chunk: int | None = None,
+    name: str = "entropy",
+) -> DataFrame:
+    """Shannon entropy in bits of the last ``window`` rows at every row."""
+    return sliding_entropies(df, idx, value, window, {"shannon": name}, entity, chunk)
+
+
+def sliding_histogram_entropies(
+    df: DataFrame,
+    idx: str,
+    value: str,
+    window: int = 256,
+    bins: int = 50,
+    entity: Sequence[str] = (),
+    chunk: int | None = None,
+    metrics: dict[str, str] | None = None,
+    alpha: float = 2.0,
+    base: float = 2.0,
+) -> DataFrame:
+    """Sliding entropies of a value in [0, 1] cut into equal bins."""
+    binned = df.withColumn("_bin", histogram_bin(quoted(value), bins))
+    named = metrics or {m: m for m in ("shannon", "renyi", "min_entropy")}
+    return sliding_entropies(binned, idx, "_bin", window, named, entity, chunk, alpha, base).drop("_bin")
 
 
 def sliding_histogram_entropy(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowscope.operators import supervised as M
-from flowscope.operators.index import with_file_row_index
 from flowscope.operators.report import class_guard
 from flowscope.plans import bindings as B
 from flowscope.plans.registry import query
@@ -107,8 +106,7 @@ def present_columns(spark, sf_dir):
     "SELECT event_id, event_type, value FROM events WHERE event_id < 2000",
 )
 def prefix_rows(spark, sf_dir):
-    rows = with_file_row_index(spark, f"{sf_dir}/events.parquet")
-    return R.prefix(rows, 2000, "row_idx").select("event_id", "event_type", "value")
+    return R.file_prefix(spark, f"{sf_dir}/events.parquet", 2000).select("event_id", "event_type", "value")
 
 
 @query(

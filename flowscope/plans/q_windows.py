@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowscope.functions import columns as C
@@ -60,6 +62,21 @@ def sliding_histogram_entropy(spark, sf_dir):
     return rounded(W.sliding_histogram_entropy(df, "event_id", "x").select("event_id", "entropy"), "entropy")
 
 
+@query(
+    "sliding_histogram_entropies",
+    """WITH e AS (SELECT event_id, least(floor(least(value / 500, 1.0) * 50), 49) AS bin FROM events),
+       r AS (SELECT a.event_id, b.bin, count(*) AS n FROM e a JOIN e b ON b.event_id BETWEEN a.event_id - 255 AND a.event_id GROUP BY 1, 2)
+       SELECT event_id, CASE WHEN event_id >= 255 THEN round(ln(256) - sum(n * ln(n)) / 256, 6) END AS shannon,
+         CASE WHEN event_id >= 255 THEN round(-ln(sum(n * n) / 65536.0), 6) END AS renyi,
+         CASE WHEN event_id >= 255 THEN round(ln(256) - ln(max(n)), 6) END AS min_entropy FROM r GROUP BY 1""",
+)
+def sliding_histogram_entropies(spark, sf_dir):
+    """Shannon, Renyi and min-entropy of the last 256 values, in nats."""
+    df = B.table(spark, sf_dir, "events").select("event_id", F.least(F.col("value") / 500, F.lit(1.0)).alias("x"))
+    out = W.sliding_histogram_entropies(df, "event_id", "x", base=math.e)
+    return rounded(out.drop("x"), "shannon", "renyi", "min_entropy")
+
+
 @query(
     "tumbling_window_vectors",
     f"""WITH {WINDOWS_SQL}, cu AS (SELECT event_id // 100 AS window_id, user_id, count(*) AS n FROM events GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,10 +125,31 @@ def select_present(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def prefix(df: DataFrame, n: int, idx: str) -> DataFrame:
-    """The first ``n`` rows by position: a filter that reaches the scan, not a sort."""
+    """The first ``n`` rows by position: a filter, not a sort. See ``file_prefix`` for one that reads only what it keeps."""
     return df.filter(F.col(idx) < n)
 
 
+def file_prefix(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` rows of a Parquet file set in path order: only the files that hold them are read.
+
+    The counts per file come from the footers. The files of a prefix are bounded by ``n``; each is cut
+    at its own row number.
+    """
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("before", before).filter(F.col("before") < n).orderBy("file").collect()
+    if not wanted:
+        return spark.read.parquet(path).limit(0)
+    whole = [r.file for r in wanted if r.before + r.n <= n]
+    out = spark.read.parquet(*whole) if whole else None
+    for r in wanted:
+        if r.before + r.n > n:
+            rows = spark.read.parquet(r.file)
+            part = rows.filter(F.col("_metadata.row_index") < n - r.before)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def attach_by_index(df: DataFrame, side: DataFrame, idx: str, how: str = "inner") -> DataFrame:
     """Bring a per-row side column in by key; with ``inner`` unmatched rows go."""
     return df.join(side, idx, how)
