@@ -116,12 +116,11 @@ def kurtosis(spark, sf_dir):
     return rounded(df.groupBy("event_type").agg(E.kurtosis(F.col("value")).alias("value")), "value")
 
 
+MEASURED = list(C.FLOW_FEATURES)
 FEATURES_SQL = f"""{B.FLOWS_SQL}, {B.DERIVED_SQL}, ints AS (SELECT "Family" AS family, "Label" AS label,
-  CAST(trunc("Protocol") AS BIGINT) AS "Protocol", CAST(trunc("Flow Duration") AS BIGINT) AS "Flow Duration",
-  CAST(trunc("Flow Bytes/s") AS BIGINT) AS "Flow Bytes/s", CAST(trunc("Total Packets") AS BIGINT) AS "Total Packets" FROM derived),
-long AS (UNPIVOT ints ON "Protocol", "Flow Duration", "Flow Bytes/s", "Total Packets" INTO NAME feature VALUE v)
+  {", ".join(f'CAST(trunc("{f}") AS BIGINT) AS "{f}"' for f in MEASURED)} FROM derived),
+long AS (UNPIVOT ints ON {", ".join(f'"{f}"' for f in MEASURED)} INTO NAME feature VALUE v)
 """
-MEASURED = ["Protocol", "Flow Duration", "Flow Bytes/s", "Total Packets"]
 
 
 def integer_features(spark, sf_dir):
@@ -157,8 +156,8 @@ def attack_entropy_choice(spark, sf_dir):
     f"""WITH {FEATURES_SQL}, u AS (SELECT feature, CAST(v AS DOUBLE) AS v FROM long WHERE family = 'UDP'),
         c AS (SELECT feature, v, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT feature, n, n / sum(n) OVER (PARTITION BY feature) AS p FROM c),
         m AS (SELECT feature, v, avg(v) OVER (PARTITION BY feature) AS mu FROM u),
-        k AS (SELECT feature, avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5) AS sk FROM m GROUP BY 1),
-        e AS (SELECT feature, -sum(p * log2(p)) AS h1, -log2(sum(p * p)) AS h2 FROM p GROUP BY 1)
+        k AS (SELECT feature, coalesce(avg(pow(v - mu, 3)) / nullif(pow(avg(pow(v - mu, 2)), 1.5), 0), 0) AS sk FROM m GROUP BY 1),
+        e AS (SELECT feature, greatest(0.0, -sum(p * log2(p))) AS h1, greatest(0.0, -log2(sum(p * p))) AS h2 FROM p GROUP BY 1)
         SELECT feature, round(h1, 6) AS shannon, round(h2, 6) AS renyi_2, round(sk, 5) AS skewness FROM e JOIN k USING (feature)""",
 )
 def feature_metric_matrix(spark, sf_dir):
@@ -169,7 +168,7 @@ def feature_metric_matrix(spark, sf_dir):
 
 PROFILE_SQL = f"""{FEATURES_SQL}, pc AS (SELECT family, feature, v, count(*) AS n FROM long GROUP BY ALL),
 pp AS (SELECT family, feature, n / sum(n) OVER (PARTITION BY family, feature) AS p FROM pc),
-prof AS (SELECT family, feature, -sum(p * log2(p)) AS shannon, -log2(sum(p * p)) AS renyi_2, -log2(max(p)) AS min_entropy
+prof AS (SELECT family, feature, greatest(0.0, -sum(p * log2(p))) AS shannon, greatest(0.0, -log2(sum(p * p))) AS renyi_2, greatest(0.0, -log2(max(p))) AS min_entropy
   FROM pp GROUP BY ALL)
 """
 
@@ -197,7 +196,7 @@ def entropy_ordering(spark, sf_dir):
     "low_entropy_features",
     f"""WITH {FEATURES_SQL}, c AS (SELECT feature, v, count(*) AS n FROM long WHERE label = 'DDoS' GROUP BY ALL),
         p AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p FROM c)
-        SELECT feature, round(-sum(p * log2(p)), 6) AS shannon FROM p GROUP BY 1 ORDER BY 2 LIMIT 2""",
+        SELECT feature, round(greatest(0.0, -sum(p * log2(p))), 6) AS shannon FROM p GROUP BY 1 ORDER BY 2, 1 LIMIT 4""",
 )
 def low_entropy_features(spark, sf_dir):
     """The half of the features with the lowest entropy given the attack label."""
@@ -208,8 +207,8 @@ def low_entropy_features(spark, sf_dir):
     "attack_metric_matrix",
     f"""WITH {FEATURES_SQL}, u AS (SELECT feature, CAST(v AS DOUBLE) AS v FROM long WHERE family = 'Syn'),
         c AS (SELECT feature, v, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p FROM c),
-        e AS (SELECT feature, -sum(p * log2(p)) AS h FROM p GROUP BY 1), m AS (SELECT feature, v, avg(v) OVER (PARTITION BY feature) AS mu FROM u),
-        k AS (SELECT feature, avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5) AS sk FROM m GROUP BY 1)
+        e AS (SELECT feature, greatest(0.0, -sum(p * log2(p))) AS h FROM p GROUP BY 1), m AS (SELECT feature, v, avg(v) OVER (PARTITION BY feature) AS mu FROM u),
+        k AS (SELECT feature, coalesce(avg(pow(v - mu, 3)) / nullif(pow(avg(pow(v - mu, 2)), 1.5), 0), 0) AS sk FROM m GROUP BY 1)
         SELECT feature, round(h, 6) AS shannon, round(sk, 5) AS skewness FROM e JOIN k USING (feature)""",
 )
 def attack_metric_matrix(spark, sf_dir):

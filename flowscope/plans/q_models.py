@@ -123,19 +123,21 @@ def feature_set_comparison(spark, sf_dir):
     "named_feature_sets",
     """SELECT 'Default' AS feature_set, count(*) AS n, round(sum(l_linenumber + l_extendedprice * (1 - l_discount) + l_quantity
           + l_suppkey + l_extendedprice + l_extendedprice * (1 + l_tax) + 1) + count(*) FILTER (l_returnflag <> 'N') + count(*) FILTER (l_linenumber = 7), 1) AS total FROM lineitem
+       UNION ALL SELECT 'A', count(*), round(sum(l_linenumber + l_extendedprice * (1 - l_discount) + l_quantity + l_extendedprice + l_partkey + 1)
+          + count(*) FILTER (l_returnflag <> 'N'), 1) FROM lineitem
        UNION ALL SELECT 'B', count(*), round(sum(l_linenumber + l_extendedprice * (1 - l_discount) + l_quantity) + count(*) FILTER (l_returnflag <> 'N'), 1) FROM lineitem""",
 )
 def named_feature_sets(spark, sf_dir):
-    """Totals over the columns of two named feature sets."""
+    """Totals over the columns of the named feature sets."""
     df = B.connections(spark, sf_dir)
     parts = []
-    for name in ("Default", "B"):
+    for name in ("Default", "A", "B"):
         chosen = df.select(*FEATURE_SETS[name])
         per_row = sum((F.col(c) for c in chosen.columns), F.lit(0.0))
         parts.append(
             chosen.agg(F.lit(name).alias("feature_set"), F.count(F.lit(1)).alias("n"), F.round(F.sum(per_row), 1).alias("total"))
         )
-    return parts[0].unionAll(parts[1])
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 SCORES_SQL = f"""{PREDICTED_SQL},
