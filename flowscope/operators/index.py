@@ -176,13 +176,16 @@ def single_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("_row")).scalar()
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def checked_broadcast(small: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast a table once it is known to be small; a larger one is left to a shuffle join.
 
-    At most ``max_rows + 1`` rows reach the driver, which proves the bound and also computes the
-    table a single time for all its uses.
+    At most ``max_rows + 1`` rows or about ``max_bytes`` reach the driver, which proves the bound and
+    also computes the table a single time for all its uses.
     """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return small
+    rows, size = [], 0
+    for row in small.limit(max_rows + 1).toLocalIterator():
+        size += sum(len(v) if isinstance(v, (str, bytes, bytearray)) else len(str(v)) for v in row)
+        if len(rows) == max_rows or size > max_bytes:
+            return small
+        rows.append(row)
     return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
