@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,10 +29,12 @@ from flowscope.session import cut_lineage
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-HOT_SHARE = 1 << 17
+HOT_SHARE = 1 << 20
 # Longer pre-tokens are never hot, so that the broadcast is bounded in bytes too.
 HOT_CHARS = 64
 BATCH = 20_000
+# Pre-tokens that a task looks at together.
+SLICE = 1_000_000
 
 
 def loaded(text: str):
@@ -80,32 +82,39 @@ def encoded_lengths(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column("piece"), part.column("n"), pa.array(lengths, pa.int64())], ["piece", "n", "tokens"])
 
 
-ENTRY = pa.schema([("row", pa.int64()), ("piece", pa.string()), ("freq", pa.int64()), ("known", pa.int64()), ("doc", pa.int64()), ("n_bytes", pa.int64())])
+HEAD = pa.struct([("doc", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64())])
+ENTRY = pa.schema([("row", pa.int64()), ("piece", pa.string()), ("freq", pa.int32()), ("head", HEAD)])
 
 
 def frequencies(batches: Iterator[pa.RecordBatch], hot: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Rows of (row, piece, freq), and one entry per row with its id, size and the tokens already counted in ``known``."""
+    """Rows of (row, piece, freq), and one per row with its id, size and the tokens already counted as its ``head``."""
     for batch in batches:
-        out: list[tuple] = []
-        heads = (batch.column(c).to_pylist() for c in ("row", "doc", "n_bytes", "specials"))
-        for row, doc, n_bytes, known, words in zip(*heads, batch.column("words"), strict=True):
-            for piece, n in Counter(words.values.to_pylist()).items():
-                each = hot.get(piece)
-                if each is None:
-                    out.append((row, piece, n, 0, None, None))
-                else:
-                    known += each * n
-            # No pre-token mixes a control character with digits: this key spreads the entries and joins nothing.
-            out.append((row, f"\x00{row}", 0, known, doc, n_bytes))
-            if len(out) > 250_000:
-                yield entries(out)
-                out = []
-        yield entries(out)
-
-
-def entries(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(ENTRY)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
+        offsets = np.asarray(batch.column("words").offsets, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            yield from entries(batch.slice(at, to - at), hot)
+            at = to
+
+
+def entries(batch: pa.RecordBatch, hot: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    words = batch.column("words")
+    coded = words.flatten().dictionary_encode()
+    each = np.array([hot.get(p, -1) for p in coded.dictionary.to_pylist()] or [0], np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.diff(np.asarray(words.offsets, np.int64))
+    place = np.repeat(np.arange(batch.num_rows), lengths)
+    tokens = each[codes] if len(codes) else np.zeros(0, np.int64)
+    rows = batch.column("row").to_numpy(zero_copy_only=False)
+    pairs, freq = np.unique(place[tokens < 0] * len(each) + codes[tokens < 0], return_counts=True)
+    if len(pairs):
+        pieces = coded.dictionary.take(pa.array(pairs % len(each)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[pairs // len(each)]), pieces, pa.array(freq.astype(np.int32)), pa.nulls(len(pairs), HEAD)], schema=ENTRY)
+    known = np.bincount(place, np.maximum(tokens, 0), batch.num_rows).astype(np.int64) + batch.column("specials").to_numpy(zero_copy_only=False)
+    head = pa.StructArray.from_arrays([batch.column("doc"), batch.column("n_bytes"), pa.array(known)], fields=list(HEAD))
+    # No pre-token mixes a control character with digits: this key spreads the heads and joins nothing.
+    keys = pa.array([f"\x00{row}" for row in rows.tolist()], pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(rows), keys, pa.array(np.zeros(len(rows), np.int32)), head], schema=ENTRY)
 
 
 def piece_table(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -127,10 +136,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     total = pieces.agg(F.sum("n").alias("n")).first().n or 0
     frequent = pieces.where((F.col("n") * HOT_SHARE >= total) & (F.length("piece") <= HOT_CHARS))
     hot = df.sparkSession.sparkContext.broadcast({r.piece: r.tokens for r in frequent.select("piece", "tokens").toLocalIterator()})
-    freq = cut.mapInArrow(lambda it: frequencies(it, hot.value), "row long, piece string, freq long, known long, doc long, n_bytes long")
+    freq = cut.mapInArrow(lambda it: frequencies(it, hot.value), "row long, piece string, freq int, head struct<doc:long,n_bytes:long,known:long>")
     found = freq.join(pieces.select("piece", "tokens"), "piece", "left")
-    n_tokens = F.sum(F.col("known") + F.col("freq") * F.coalesce("tokens", F.lit(0)))
-    sums = found.groupBy("row").agg(F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), n_tokens.alias("n_tokens"))
+    n_tokens = F.sum(F.coalesce("head.known", F.lit(0)) + F.col("freq") * F.coalesce("tokens", F.lit(0)))
+    sums = found.groupBy("row").agg(F.max("head.doc").alias("doc"), F.max("head.n_bytes").alias("n_bytes"), n_tokens.alias("n_tokens"))
     return sums.select("doc", "n_bytes", "n_tokens")
 
 
