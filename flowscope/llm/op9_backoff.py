@@ -29,6 +29,7 @@ from flowscope.llm.op5_decontaminate import SLICE, grams, word_hashes
 from flowscope.plans.registry import query
 
 ORDER = 2
+LONGER = 3
 ALPHA = 0.4
 UNSEEN = 0.5
 CHUNKS_PER_PART = 2
@@ -186,7 +187,15 @@ FROM split d LEFT JOIN sums USING (doc_id)
 """
 
 
+def rounded(out: DataFrame) -> DataFrame:
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 @query("op9_backoff", SQL)
 def op9_backoff(spark, sf_dir):
-    out = backoff_scores(table(spark, sf_dir, "documents"))
-    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return rounded(backoff_scores(table(spark, sf_dir, "documents")))
+
+
+@query("op9_backoff_order3")
+def op9_backoff_order3(spark, sf_dir):
+    return rounded(backoff_scores(table(spark, sf_dir, "documents"), order=LONGER))
