@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowscope.operators.index import checked_broadcast
+from flowscope.session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +24,33 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def reads_files_only(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is a row of a Parquet file: chosen columns and filters over a scan, nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if plan.nodeName() == "Project" and "monotonically_increasing_id" in plan.toString():
+            return False
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
+
+
+def with_row_number(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for every row that comes out the same however often and wherever it is computed.
+
+    A table read from files takes the place in the file, and the rows of the files before. How the reader splits files
+    depends on the cores that Spark sees at the time, so numbers made by task would not do. Any other frame is written to
+    the shared folder with its numbers.
+    """
+    if not reads_files_only(df):
+        return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    rows = df.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_in_file"))
+    sizes = rows.groupBy(F.col(f"{name}_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = checked_broadcast(cut_lineage(sizes.select("file", F.coalesce(before, F.lit(0)).alias(f"{name}_start"))))
+    placed = rows.join(starts, F.col(f"{name}_file") == F.col("file"))
+    return placed.select(*map(quoted, df.columns), (F.col(f"{name}_start") + F.col(f"{name}_in_file")).alias(name))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session, which whoever runs it sets by the size of the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

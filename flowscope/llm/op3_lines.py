@@ -5,11 +5,12 @@ least two documents hold loses all its lines except in the smallest document tha
 
 1. Each task takes the distinct keys of each document as 128-bit digests. A digest that two documents of the same task
    hold is a suspect at once; of all others one entry (digest, document) goes to the shard of the digest, so that a very
-   common line sends one entry per task, not one per document.
+   common line sends one entry per task, not one per document. Entries name the row besides the document.
 2. A shard streams its entries through two Bloom filters, seen once and seen twice, then tests each entry against the
    second. Entries that fail are settled: no other task holds their key. Only suspects go on.
 3. Suspects are confirmed by exact grouping of their digests (smallest and largest document), which combines in the map
-   tasks. The documents that lose a line are joined to their digests; AQE splits the join at a hot digest.
+   tasks. The rows that lose a line are joined to their own digests, so that many rows of one id, or of none, share no
+   list; AQE splits the join at a hot digest.
 
 Defined cases: a null or empty text is one empty line. A null id counts as one document after all others. Rows that
 repeat an id are one document: each is filtered by what the id loses. An empty table gives an empty result.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import keyed_text, quoted, shuffle_parts, table
+from flowscope.llm.common import quoted, shuffle_parts, table, with_row_number
 from flowscope.plans.registry import query
 from flowscope.session import cut_lineage
 
@@ -36,7 +37,7 @@ PROBES = 4
 # Entries a task holds before it hands them on; bounds its memory.
 HELD = 1_000_000
 # Digests are read as big-endian numbers, so that their bytes come back in order.
-PART = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("state", "u1")])
+PART = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("state", "u1")])
 # States of an entry: an ordinary document, the document without an id, a digest that its task has settled as a suspect.
 PLAIN, NO_ID, REPEATED = 0, 1, 2
 
@@ -55,15 +56,19 @@ def digest_of(key: bytes) -> bytes:
 
 def line_entries(batches: Iterator[pa.RecordBatch], shards: int, min_chars: int) -> Iterator[pa.RecordBatch]:
     """Rows of (shard, packed entries); shard -1 carries suspects that the task has found itself."""
-    held: list[tuple[bytes, int, bool]] = []
+    held: list[bytes] = []
+    # Document, row and number of digests of each row held.
+    whose: list[tuple[int | None, int, int]] = []
 
     def packed() -> pa.RecordBatch:
-        digests = np.frombuffer(b"".join(d for d, _, _ in held), ">u8").astype("<u8").reshape(-1, 2)
+        digests = np.frombuffer(b"".join(held), ">u8").astype("<u8").reshape(-1, 2)
         part = np.zeros(len(held), PART)
         part["high"], part["low"] = digests[:, 0], digests[:, 1]
-        part["doc"] = [doc for _, doc, _ in held]
-        part["state"] = [NO_ID if empty else PLAIN for _, _, empty in held]
-        part = np.unique(part)
+        of = np.repeat(np.arange(len(whose)), [n for _, _, n in whose])
+        part["doc"] = np.array([doc or 0 for doc, _, _ in whose], np.int64)[of]
+        part["row"] = np.array([row for _, row, _ in whose], np.int64)[of]
+        part["state"] = np.array([NO_ID if doc is None else PLAIN for doc, _, _ in whose], np.uint8)[of]
+        part = part[np.lexsort((part["low"], part["high"]))]
         again = np.zeros(len(part), bool)
         same = (part["high"][1:] == part["high"][:-1]) & (part["low"][1:] == part["low"][:-1])
         again[1:] |= same
@@ -81,12 +86,15 @@ def line_entries(batches: Iterator[pa.RecordBatch], shards: int, min_chars: int)
         rows = [(int(s[0]), e.tobytes()) for s, e in zip(np.split(shard, cuts), np.split(sent, cuts), strict=True) if len(s)]
         rows += [(-1, own[at : at + 50_000].tobytes()) for at in range(0, len(own), 50_000)]
         held.clear()
+        whose.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "entries"])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc").to_pylist(), batch.column("body"), strict=True):
             keys = {key_of(line) for line in text.as_buffer().to_pybytes().split(b"\n")}
-            held += [(digest_of(k), doc or 0, doc is None) for k in keys if long_enough(k, min_chars)]
+            own = [digest_of(k) for k in keys if long_enough(k, min_chars)]
+            held += own
+            whose.append((doc, row, len(own)))
             if len(held) >= HELD:
                 yield packed()
     if held:
@@ -123,10 +131,11 @@ def shard_suspects(blobs: list[bytes]) -> np.ndarray:
 
 def unpacked(part: np.ndarray) -> pa.RecordBatch:
     docs = pa.array(part["doc"].astype(np.int64), mask=part["state"] == NO_ID)
-    return pa.RecordBatch.from_arrays([docs, pa.array(part["high"].view(np.int64)), pa.array(part["low"].view(np.int64))], ["doc", "high", "low"])
+    numbers = [pa.array(np.ascontiguousarray(part[c]).view(np.int64)) for c in ("row", "high", "low")]
+    return pa.RecordBatch.from_arrays([docs, *numbers], ["doc", "row", "high", "low"])
 
 
-SUSPECT = "doc long, high long, low long"
+SUSPECT = "doc long, row long, high long, low long"
 
 
 def suspects_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +171,11 @@ def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*carried, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "kept", "n_lines", "n_dropped"])
 
 
-def lost_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document that loses lines: ``doc`` and the digests of the keys it loses, ``lost``."""
-    spark = df.sparkSession
+def lost_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Of rows (``row``, ``doc``, ``body``) those that lose lines: ``lost_row`` and the digests of the keys it loses, ``lost``."""
+    spark = rows.sparkSession
     shards = shuffle_parts(spark)
-    entries = keyed_text(df, id_col, text_col).mapInArrow(lambda it: line_entries(it, shards, min_chars), "shard int, entries binary")
+    entries = rows.select("row", "doc", "body").mapInArrow(lambda it: line_entries(it, shards, min_chars), "shard int, entries binary")
     # Own suspects stay spread; shards are small rows of packed entries.
     target = F.when(F.col("shard") < 0, F.pmod(F.xxhash64("entries"), F.lit(shards)).cast("int")).otherwise(F.col("shard"))
     dealt = entries.repartition(shards, target).sortWithinPartitions("shard")
@@ -174,16 +183,16 @@ def lost_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     confirmed = suspects.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("open"))
     confirmed = cut_lineage(confirmed.where("first IS NOT NULL AND (first < last OR open)").select("high", "low", "first"))
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("high", "low"))))
-    lost = suspects.join(confirmed, ["high", "low"]).where("doc IS NULL OR doc > first").select("doc", digest.alias("digest"))
-    return lost.groupBy("doc").agg(F.collect_set("digest").alias("lost"))
+    lost = suspects.join(confirmed, ["high", "low"]).where("doc IS NULL OR doc > first").select("row", digest.alias("digest"))
+    return lost.groupBy(F.col("row").alias("lost_row")).agg(F.collect_list("digest").alias("lost"))
 
 
 def with_lines_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of ``df`` with ``kept`` (the text without its repeated lines), ``n_lines`` and ``n_dropped``."""
-    lost = lost_lines(df, id_col, text_col, min_chars)
     names = [f"c{i}" for i in range(len(keep))]
-    rows = df.select(*(quoted(c).alias(n) for c, n in zip(keep, names, strict=True)), quoted(id_col).cast("long").alias("own"), F.coalesce(quoted(text_col), F.lit("")).alias("body"))
-    joined = rows.join(lost, rows["own"].eqNullSafe(lost["doc"]), "left").select(*names, "body", "lost")
+    rows = df.select(*(quoted(c).alias(n) for c, n in zip(keep, names, strict=True)), quoted(id_col).cast("long").alias("doc"), F.coalesce(quoted(text_col), F.lit("")).alias("body"))
+    rows = with_row_number(rows, "row")
+    joined = rows.join(lost_lines(rows, min_chars), F.col("row") == F.col("lost_row"), "left").select(*names, "body", "lost")
     kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     out = joined.mapInArrow(filtered, f"{kinds}{', ' if kinds else ''}kept string, n_lines long, n_dropped long")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "kept", "n_lines", "n_dropped")

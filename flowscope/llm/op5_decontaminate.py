@@ -42,7 +42,7 @@ NONE = U(0xFFFFFFFFFFFFFFFF)
 
 def odd_powers(n: int, base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[U(1)], np.full(n - 1, base, U)]), dtype=U)
+        return np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, base, U)]), dtype=U)
 
 
 PLACE = odd_powers(1 << 12, 0x9E3779B97F4A7C15)
@@ -76,7 +76,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     reach = np.diff(np.append(starts, len(raw)))
     # Place within the word; what stands before the first word counts as nothing.
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, reach)
-    value = code[starts[0] :].astype(U) * PLACE[place & (len(PLACE) - 1)] + (place >> 12).astype(U) * (code[starts[0] :] > 0)
+    weight = PLACE[place & (len(PLACE) - 1)]
+    block = place >> 12
+    if block.max() > 0:
+        weight = weight * odd_powers(int(block.max()) + 1, int(PLACE[-1] * PLACE[1]))[block]
+    value = code[starts[0] :].astype(U) * weight
     return mixed(np.add.reduceat(value, starts - starts[0])), counts
 
 
