@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +17,35 @@ from flowscope.functions.columns import quoted
 from flowscope.operators.index import running_sums, single_row
 from flowscope.session import cut_lineage
 
-BINS_PER_PASS = 2_048
+# Bits of a value's key that each pass over the table settles, from the highest.
+DIGITS = (13, 13, 13, 13, 12)
 
 
-@dataclass
-class _Bracket:
-    """Values ``low..high`` known to hold the wanted rank; ``below`` rows lie under ``low``."""
+def ordered_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit keys that order as the numbers do: the bits of a double, negative ones turned round."""
+    bits = (np.asarray(values, np.float64) + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
-    column: int
-    rank: int
-    low: float
-    high: float
-    below: int = 0
+
+def value_of_key(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def digit_counts(batches: Iterator[pa.RecordBatch], spans: list[tuple[int, int]], known: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """How often each digit follows each (column, prefix of ``known`` bits) among a task's rows."""
+    counts = np.zeros((len(spans), 1 << digits), np.int64)
+    for batch in batches:
+        for i in sorted({c for c, _ in spans}):
+            values = batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+            keys = ordered_keys(values[np.isfinite(values)])
+            for s, (column, prefix) in enumerate(spans):
+                if column == i:
+                    mine = keys[keys >> np.uint64(64 - known) == np.uint64(prefix)] if known else keys
+                    digit = (mine >> np.uint64(64 - known - digits)) & np.uint64((1 << digits) - 1)
+                    counts[s] += np.bincount(digit.astype(np.int64), minlength=1 << digits)
+    span, digit = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(digit), pa.array(counts[span, digit])], ["span", "digit", "n"])
 
 
 def exact_quantiles(
@@ -34,64 +53,45 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of many columns without sorting or gathering a column.
 
-    Every pass counts the rows of a coarse histogram inside the brackets that hold the wanted ranks,
-    for all columns at once, and keeps one bin of each. A pass narrows a bracket about
-    ``BINS_PER_PASS`` times and ends it when the bin holds a single value, however often that value
-    occurs. The driver sees bin counts only.
+    Radix selection: each of ``len(DIGITS)`` passes, whatever the range of the values, counts the next digit of the keys
+    that share the digits found so far, for all columns and ranks at once. The driver sees counts of digits only, at most
+    ``2 ** 13`` for a rank. Values that are not finite do not count.
     """
-    xs = [C.finite_or_null(quoted(c)) for c in columns]
-    head = df.agg(
-        *[F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"s{i}") for i, x in enumerate(xs)]
-    ).first()
-    needs = []
-    open_: list[_Bracket] = []
-    for i in range(len(columns)):
-        n, lo, hi = head[i]
-        for p in probs:
-            at = (n - 1) * p
-            ranks = sorted({max(0, math.floor(at)), max(0, math.ceil(at))})
-            needs.append((i, at, ranks))
-            open_ += [_Bracket(i, r, lo, hi) for r in ranks] if n else []
-    found: dict[tuple[int, int], float] = {}
-    while open_:
-        todo = []
-        for b in open_:
-            if b.low == b.high:
-                found[(b.column, b.rank)] = b.low
-            else:
-                todo.append(b)
-        if not todo:
-            break
-        spans = sorted({(b.column, b.low, b.high) for b in todo})
-        entries = []
-        for s, (col, low, high) in enumerate(spans):
-            x = xs[col]
-            share = (x - F.lit(low)) / F.lit(high - low)
-            bin_no = F.least(F.floor(share * BINS_PER_PASS), F.lit(BINS_PER_PASS - 1)).cast("int")
-            inside = (x >= F.lit(low)) & (x <= F.lit(high))
-            entries.append(F.when(inside, F.struct(F.lit(s).alias("s"), bin_no.alias("b"), x.alias("x"))))
-        hits = df.select(F.explode(F.array(*entries)).alias("h")).filter(F.col("h").isNotNull())
-        bins = hits.groupBy("h.s", "h.b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("h.x").alias("lo"), F.max("h.x").alias("hi")
-        )
-        by_span: dict[int, list] = {}
-        for row in sorted(bins.collect()):
-            by_span.setdefault(row["s"], []).append(row)
-        open_ = []
-        for b in todo:
-            below = b.below
-            for row in by_span[spans.index((b.column, b.low, b.high))]:
-                if b.rank < below + row["n"]:
-                    open_.append(_Bracket(b.column, b.rank, row["lo"], row["hi"], below))
-                    break
-                below += row["n"]
+    rows = df.select(*(quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).persist()
+    # Per (column, rank) the key's digits so far and the rank among the keys that share them.
+    places: dict[tuple[int, int], tuple[int, int]] = {}
+    needs: list[tuple[int, float, list[int]]] = []
+    try:
+        known = 0
+        for digits in DIGITS:
+            spans = sorted({(c, prefix) for (c, _), (prefix, _) in places.items()}) or [(i, 0) for i in range(len(columns))]
+            counted = rows.mapInArrow(lambda it, s=spans, k=known, d=digits: digit_counts(it, s, k, d), "span long, digit long, n long")
+            found: dict[tuple[int, int], list] = {}
+            for r in sorted(counted.groupBy("span", "digit").agg(F.sum("n").alias("n")).collect()):
+                found.setdefault(spans[r.span], []).append((r.digit, r.n))
+            if not known:
+                for i in range(len(columns)):
+                    n = sum(m for _, m in found.get((i, 0), []))
+                    for p in probs:
+                        at = (n - 1) * p
+                        ranks = sorted({max(0, math.floor(at)), max(0, math.ceil(at))}) if n else []
+                        needs.append((i, at, ranks))
+                        places |= {(i, r): (0, r) for r in ranks}
+            for (i, rank), (prefix, rest) in places.items():
+                for digit, n in found[i, prefix]:
+                    if rest < n:
+                        places[i, rank] = (prefix << digits | digit, rest)
+                        break
+                    rest -= n
+            known += digits
+            if not places:
+                break
+    finally:
+        rows.unpersist()
     out: dict[str, list[float | None]] = {c: [] for c in columns}
     for i, at, ranks in needs:
-        ends = [found.get((i, r)) for r in ranks]
-        if ends[0] is None:
-            out[columns[i]].append(None)
-        else:
-            out[columns[i]].append(ends[0] + (ends[-1] - ends[0]) * (at - math.floor(at)))
+        ends = [value_of_key(places[i, r][0]) for r in ranks]
+        out[columns[i]].append(ends[0] + (ends[-1] - ends[0]) * (at - math.floor(at)) if ends else None)
     return out
 
 

@@ -70,7 +70,8 @@ def forest_scores(spark, sf_dir):
 
 @query("forest_per_cluster")
 def forest_per_cluster(spark, sf_dir):
-    return M.train_per_cluster(training_flows(spark, sf_dir), SAFE, "Label", "Status", IDS, lambda: M.forest(10, 5))
+    """A forest of 100 trees without a depth limit per cluster, all grown together."""
+    return M.train_per_cluster(training_flows(spark, sf_dir), SAFE, "Label", "Status", IDS)
 
 
 @query("feature_importance")
@@ -103,20 +104,20 @@ def network_scores(spark, sf_dir):
 @query("cross_validation")
 def cross_validation(spark, sf_dir):
     df = training_flows(spark, sf_dir)
-    return M.fold_summary(M.cross_validate(df, SAFE, "Label", IDS, lambda: M.forest(5, 5)))
+    return M.fold_summary(M.cross_validate(df, SAFE, "Label", IDS))
 
 
 @query("forest_sweep")
 def forest_sweep(spark, sf_dir):
     df = training_flows(spark, sf_dir)
-    return M.sweep_forest(df, SAFE, "Label", IDS, depths=(3, 6), trees=(5, 10), train_shares=(0.1, 1.0), base={"trees": 5})
+    return M.sweep_forest(df, SAFE, "Label", IDS)
 
 
 @query("feature_set_comparison")
 def feature_set_comparison(spark, sf_dir):
-    """One forest per named feature set on the connection log, same split."""
+    """One forest of 100 trees without a depth limit per named feature set on the connection log, same split."""
     df = B.connections(spark, sf_dir)
-    return M.compare_feature_sets(df, FEATURE_SETS, "Label", B.CONNECTION_IDS, lambda: M.forest(10, 5))
+    return M.compare_feature_sets(df, FEATURE_SETS, "Label", B.CONNECTION_IDS)
 
 
 @query(

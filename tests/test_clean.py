@@ -140,3 +140,39 @@ def test_undefined_scores_are_zero(spark):
     assert out["b"]["precision"] == 0.0 and out["b"]["f1"] == 0.0 and out["a"]["recall"] == 1.0
     cells = V.confusion(df, "t", "p", ["a", "b"])
     assert cells.count() == 4 and cells.filter("n = 0").count() == 2
+
+
+def test_quantiles_over_all_magnitudes_in_five_passes(spark):
+    """From 1e-300 to 1e299, both signs and both zeros; the upstream table is read once, its rows five times."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([10.0 ** rng.uniform(-300, 299, 3000), -(10.0 ** rng.uniform(-300, 299, 3000)), [0.0, -0.0, 5e-324, float("inf"), float("nan")]])
+    y = rng.integers(-3, 3, len(x)).astype(float)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").mapInArrow(counted, "x double, y double")
+    spark.sparkContext.setJobGroup("quantiles", "")
+    probs = [0.0, 0.003, 0.25, 0.5, 0.9999, 1.0]
+    found = S.exact_quantiles(df, ["x", "y"], probs)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
+    spark.sparkContext.setJobGroup("other", "")
+    finite = x[np.isfinite(x)]
+    assert found["x"] == pytest.approx(np.quantile(finite, probs).tolist(), rel=1e-12)
+    assert found["y"] == np.quantile(y, probs).tolist()
+    # A job to fill the cache may come on top of at most two a pass.
+    assert read.value == len(x) and jobs <= 2 * len(S.DIGITS) + 1
+
+
+def test_ordered_keys():
+    import numpy as np
+
+    x = np.array([-np.finfo(float).max, -1e300, -1.5, -5e-324, 0.0, 5e-324, 1e-300, 2.0, 1e299])
+    keys = S.ordered_keys(x)
+    assert (np.diff(keys.astype(object)) > 0).all() and [S.value_of_key(int(k)) for k in keys] == x.tolist()
+    assert S.ordered_keys(np.array([-0.0])) == S.ordered_keys(np.array([0.0]))

@@ -43,14 +43,14 @@ def test_model_round_trip(labelled, tmp_path):
 
 def test_per_cluster_guard(spark, labelled):
     df = labelled.withColumn("Label", F.when(F.col("c") == "tiny", "Benign").otherwise(F.col("Label")))
-    models = {}
-    rows = {r["cluster"]: r for r in M.train_per_cluster(df, ["a", "b"], "Label", "c", ["id"], lambda: M.forest(5, 4), models=models).collect()}
+    grown = []
+    rows = {r["cluster"]: r for r in M.train_per_cluster(df, ["a", "b"], "Label", "c", ["id"], 5, 4, grown=grown).collect()}
     assert rows["tiny"]["status"] == "skipped: single class" and rows["tiny"]["accuracy_pct"] is None
-    assert rows["one"]["status"] == "trained" and list(models) == ["one"]
+    assert rows["one"]["status"] == "trained" and [m.name for m in grown[0].models] == ["one"]
 
 
 def test_folds(labelled):
-    folds = M.cross_validate(labelled, ["a", "b"], "Label", ["id"], lambda: M.forest(3, 3), 3)
+    folds = M.cross_validate(labelled, ["a", "b"], "Label", ["id"], 3, 3, 3)
     row = M.fold_summary(folds).first()
     assert row["folds"] == 3 and row["mean_accuracy"] > 70
     assert folds.agg(F.sum("n")).first()[0] == 600
