@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from flowscope.operators import fit as K
 from flowscope.operators import report as R
+from flowscope.operators import stats as Q
 from flowscope.operators import supervised as M
 from flowscope.plans import bindings as B
 from flowscope.plans.q_report import rounded
 from flowscope.plans.registry import query
 from flowscope.session import scratch_path
 from flowscope.streaming import runs as S
+from flowscope.streaming.batches import cluster_stream
 from flowscope.streaming.sliding import batch_sliding_entropy, stream_sliding_entropy
 
 WINDOW = 16
@@ -22,13 +24,14 @@ BATCHES = 3
 
 
 def event_stream(spark, sf_dir):
-    """The events as a stream of ``BATCHES`` micro-batches, in time order."""
-    events = B.table(spark, sf_dir, "events")
-    total, files = events.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The events as a stream of ``BATCHES`` micro-batches by id, which is time order; ids may have gaps or be missing."""
+    events, files = B.table(spark, sf_dir, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch_path(spark, "events")
-    for batch in range(BATCHES):
-        part = events.filter(F.expr(f"event_id * {BATCHES} div {max(total, 1)}") == batch)
-        part.repartition(files).write.mode("append").parquet(folder)
+    ends = [e for e in Q.exact_quantiles(events, ["event_id"], [i / BATCHES for i in range(1, BATCHES)])["event_id"] if e is not None]
+    batch = sum((F.coalesce(F.col("event_id") > e, F.lit(True)).cast("int") for e in ends), F.lit(0))
+    for i in range(len(ends) + 1):
+        events.filter(batch == i).repartition(files).write.mode("append").parquet(folder)
+    assert spark.read.schema(events.schema).parquet(folder).count() == events.count()
     stream = S.read_stream(spark, folder, events.schema, "*.parquet", files)
     return stream.withColumn("share", F.least(F.col("value") / 500, F.lit(1.0)))
 
@@ -63,15 +66,17 @@ def stream_hot_entity(spark, sf_dir):
 
 @query(
     "stream_batch_clusters",
-    f"""WITH n AS (SELECT count(*) AS n FROM events)
-        SELECT event_id * {BATCHES} // n AS batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, true AS two_clusters FROM events, n GROUP BY 1""",
+    """WITH e AS (SELECT event_id, least(value / 500, 1.0) AS share, (row_number() OVER (ORDER BY event_id) - 1) // 1024 AS batch FROM events)
+       SELECT batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, round(avg(share), 6) AS mean_share, count(*) AS labelled FROM e GROUP BY 1""",
 )
 def stream_batch_clusters(spark, sf_dir):
-    """Every micro-batch standardised and clustered by itself: no row is lost, and all have one of two clusters."""
+    """Batches of 1,024 rows whatever the triggers bring, each standardised and clustered by itself, and the rest at the end."""
     stream = event_stream(spark, sf_dir).select("event_id", "share", F.col("user_id").cast("double").alias("user"))
-    out, _ = S.cluster_stream(stream, ["share", "user"])
-    valid = F.coalesce(F.col("cluster").isin(0, 1), F.lit(False))
-    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.bool_and(valid).alias("two_clusters"))
+    out, _ = cluster_stream(stream, ["share", "user"], ["event_id"])
+    found = out.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.avg("share").alias("mean_share"), F.count_if(F.col("cluster").isin(0, 1)).alias("labelled")
+    )
+    return rounded(found, "mean_share")
 
 
 @query("stream_accounting", f"SELECT count(*) AS rows, {BATCHES} AS batches, true AS cost_known, true AS cost_shared FROM events")
@@ -81,7 +86,7 @@ def stream_accounting(spark, sf_dir):
     entropies = stream_sliding_entropy(stream, "user_id", "share", ["ts", "event_id"], ["event_id", "value"], WINDOW)
     _, batches = S.logged(spark, lambda: S.drain(entropies, "entropy"))
     rows = stream.select("event_id", "share", F.col("user_id").cast("double").alias("user"))
-    _, clustering = S.logged(spark, lambda: S.cluster_stream(rows, ["share", "user"]))
+    _, clustering = S.logged(spark, lambda: cluster_stream(rows, ["share", "user"], ["event_id"]))
     per_batch = clustering.filter("rows > 0").agg(F.avg("add_batch_ms").alias("ms"), F.avg("rows").alias("n")).first()
     cost = S.amortised_cost(batches, per_batch.ms, per_batch.n)
     counted = batches.filter("rows > 0").agg(F.count(F.lit(1)).cast("int").alias("batches"))

@@ -1,4 +1,4 @@
-"""Starting, draining and timing streams; time windows; micro-batch clustering; two-stage verdicts."""
+"""Starting, draining and timing streams; time windows; two-stage verdicts."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowscope.functions import entropy as E
 from flowscope.functions.columns import quoted
-from flowscope.operators import fit as K
-from flowscope.operators import stats as S
 from flowscope.operators.evaluate import verdict
 from flowscope.operators.reward import route_by_purity
 from flowscope.session import scratch_path
@@ -35,10 +33,13 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
-    """Run a stream over everything available now into Parquet and read that back."""
+def drain(stream: DataFrame, name: str, mode: str = "append", sink: str | None = None, state: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream over everything available now into Parquet and read that back.
+
+    With the same ``sink`` and ``state`` folders a later run goes on where this one ended.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = sink or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -130,44 +131,6 @@ def time_window_entropy(
     )
 
 
-def cluster_batch(batch: DataFrame, features: Sequence[str], k: int = 2, seed: int = 42) -> DataFrame:
-    """Standardise one micro-batch and label it by a mixture of ``k`` components."""
-    scaler = S.fit_standard_scaler(batch, features)
-    scaled = batch.withColumn("_x", F.array(*[scaler.scaled(f) for f in features]))
-    labelled, _ = K.gaussian_mixture(scaled, k, seed=seed, features="_x")
-    return labelled.drop("_x")
-
-
-def cluster_stream(
-    stream: DataFrame, features: Sequence[str], k: int = 2, min_rows: int = 2, seed: int = 42
-) -> tuple[DataFrame, StreamingQuery]:
-    """Cluster every micro-batch by itself; a rerun of a batch overwrites its own output.
-
-    The rows of a batch of fewer than ``min_rows`` come out with a null cluster.
-    """
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, "clusters"), scratch_path(spark, "clusters-state")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        try:
-            enough = held.limit(min_rows).count() >= min_rows
-            labelled = cluster_batch(held, features, k, seed) if enough else held.withColumn("cluster", F.lit(None).cast("int"))
-            labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        finally:
-            held.unpersist()
-
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields]).add("cluster", T.IntegerType()).add("batch", T.LongType())
-    return spark.read.schema(schema).parquet(out), query
-
-
 def two_stage_verdict(
     rows: DataFrame,
     assign: Callable[[DataFrame], DataFrame],

@@ -111,21 +111,6 @@ def test_deep_trees_are_refused():
         M.forest(5, 50)
 
 
-def test_stream_clusters_every_batch(spark, feed):
-    path, df = feed
-    out, _ = S.cluster_stream(S.read_stream(spark, path, df.schema, "*.parquet"), ["x", "i"])
-    assert out.count() == 1200 and out.select("batch").distinct().count() == 3
-    assert {r["cluster"] for r in out.select("cluster").distinct().collect()} <= {0, 1}
-
-
-def test_small_batches_keep_their_rows(spark, tmp_path):
-    path = str(tmp_path / "small")
-    for rows in (50, 1):
-        spark.range(rows).selectExpr("id", "id * 1.0 AS x").coalesce(1).write.mode("append").parquet(path)
-    out, _ = S.cluster_stream(S.read_stream(spark, path, spark.read.parquet(path).schema, "*.parquet"), ["x"])
-    assert out.count() == 51 and out.filter("cluster IS NULL").count() == 1
-
-
 def test_long_streams_are_accounted_for(spark, tmp_path):
     """More batches than the engine's own list of recent progress holds."""
     path = str(tmp_path / "many")
