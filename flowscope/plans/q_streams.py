@@ -14,6 +14,7 @@ from flowscope.plans.registry import query
 from flowscope.session import scratch_path
 from flowscope.streaming import runs as S
 from flowscope.streaming.batches import cluster_stream
+from flowscope.streaming.event_time import event_time_entropy
 from flowscope.streaming.sliding import batch_sliding_entropy, stream_sliding_entropy
 
 WINDOW = 16
@@ -64,6 +65,30 @@ def stream_hot_entity(spark, sf_dir):
     return rounded(out, "entropy")
 
 
+JITTERED_SQL = f"""WITH b AS (SELECT (max(epoch_ms(ts)) - min(epoch_ms(ts))) // 10 AS delay, max(epoch_ms(ts)) AS latest FROM events),
+        all_rows AS ({USER_ENTROPY_SQL})
+        SELECT a.user_id, a.event_id, a.entropy FROM all_rows a JOIN events e ON e.event_id = a.event_id, b WHERE epoch_us(e.ts) <= (b.latest - b.delay) * 1000"""
+
+
+@query("stream_event_time_entropy", JITTERED_SQL)
+def stream_event_time(spark, sf_dir):
+    """The same on rows that arrive out of order: each waits for the watermark, a tenth of the whole time behind."""
+    events, files = B.table(spark, sf_dir, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    delay = (ends.high - ends.low) // 10
+    # A row may come as much later than its neighbours as the watermark allows.
+    late = at + F.pmod(F.xxhash64("event_id"), F.lit(max(delay // 2, 1)))
+    folder = scratch_path(spark, "jittered")
+    for i in range(BATCHES):
+        low, high = (ends.low + (ends.high - ends.low) * (i + j) // BATCHES for j in (0, 1))
+        part = events.filter((late >= low) & (F.lit(i == BATCHES - 1) | (late < high)))
+        part.repartition(files).write.mode("append").parquet(folder)
+    stream = S.read_stream(spark, folder, events.schema, "*.parquet", files).withColumn("share", F.least(F.col("value") / 500, F.lit(1.0)))
+    out, _ = S.drain(event_time_entropy(stream, "user_id", "share", "ts", ["event_id"], ["event_id"], f"{delay} milliseconds", 10 * delay, WINDOW), "ordered")
+    return rounded(out, "entropy")
+
+
 @query(
     "stream_batch_clusters",
     """WITH e AS (SELECT event_id, least(value / 500, 1.0) AS share, (row_number() OVER (ORDER BY event_id) - 1) // 1024 AS batch FROM events)
