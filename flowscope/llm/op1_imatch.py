@@ -2,13 +2,18 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: those in at least ``LEAST`` and at most
 ``MOST`` of all documents. There can be no more of them than distinct terms per document / ``LEAST``, whatever the size
-of the corpus. Randomised subsets of the lexicon come in levels: a level cuts the lexicon at random into ``classes``
-parts and uses ``used`` of them, so that a level of small parts tells long texts apart and one of large parts short ones.
-A fingerprint hashes, for each subset, the sorted distinct terms of the document that lie in it; a subset without any is
-empty. Texts with fewer than ``FEW`` lexicon terms use all their terms.
+of the corpus. A text that more than ``COPIED`` of all rows hold counts as one document there (there are at most
+1 / ``COPIED`` such texts), so that copies push no term out of the band.
 
-Likeness of two fingerprints: per level, the share of equal hashes among the subsets not empty in both; the best level
-counts, of those with at least ``FEW`` such subsets, or else the coarsest. Terms are told apart by 64-bit hashes.
+Randomised subsets come in levels: a level cuts the terms at random into ``classes`` parts and uses ``used`` of them, so
+that a level of small parts tells long texts apart and one of large parts short ones. The first levels are made from
+the lexicon's terms, the last one from all terms, for texts that have few in the lexicon. A fingerprint hashes, for each
+subset, the sorted distinct terms of the document that lie in it; a subset without any is empty.
+
+Likeness of two fingerprints: per level, the share of equal hashes among the subsets not empty in both. The best level of
+the lexicon counts, of those with at least ``FEW`` such subsets; if there is none, the level of all terms, and if that
+has fewer too, the coarsest that has any. So both texts are compared by the same kind of terms. Terms are told apart by
+64-bit hashes.
 
 Defined cases: a null or empty text has no terms; two fingerprints without any subset are alike (1). Documents form a
 ring by distinct id; where rows repeat an id, the next document is its smallest text. A null id stands outside the ring:
@@ -26,10 +31,12 @@ from flowscope.plans.registry import query
 from flowscope.session import cut_lineage
 
 LEAST, MOST = 0.005, 0.2
+COPIED = 1e-4
 FEW = 4
-# (classes, used) of each level.
+# (classes, used) of each level of the lexicon's terms, and of the level of all terms.
 LEVELS = ((16, 16), (128, 32), (1024, 32))
-SUBSETS = sum(used for _, used in LEVELS)
+ALL_TERMS = (64, 32)
+SUBSETS = sum(used for _, used in (*LEVELS, ALL_TERMS))
 
 
 def term_hashes(body: Column) -> Column:
@@ -45,17 +52,21 @@ def longs(values: list[int]) -> Column:
 
 def lexicon(docs: DataFrame) -> list[int]:
     """Terms in the band; bounded by distinct terms per document / LEAST."""
-    found = docs.select(F.explode(term_hashes(F.col("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
+    named = docs.select("body", F.xxhash64("body").alias("h0"), F.xxhash64(F.lit(1), "body").alias("h1"))
+    texts = cut_lineage(named.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("copies")))
+    rows = texts.agg(F.sum("copies")).first()[0] or 0
+    often = texts.where(F.col("copies") > max(1, COPIED * rows))
+    n = rows - (often.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    weighed = named.join(F.broadcast(often), ["h0", "h1"], "left").select(F.explode(term_hashes(F.col("body"))).alias("term"), F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    # Shares of copies add up to whole numbers but for rounding.
+    found = weighed.groupBy("term").agg(F.round(F.sum("weight"), 3).alias("df"))
     return sorted(r.term for r in found.where(F.col("df").between(max(2, LEAST * n), MOST * n)).select("term").toLocalIterator())
 
 
 def signature(body: Column, terms: list[int]) -> Column:
     """SUBSETS hashes of 16 bits, null where a subset is empty."""
-    words = longs(terms)
-    found = F.array(term_hashes(body))
-    kept = F.transform(found, lambda own: F.struct(own.alias("own"), F.array_intersect(own, words).alias("known")))
-    chosen = F.transform(kept, lambda k: F.array_sort(F.when(F.size(k["known"]) < FEW, k["own"]).otherwise(k["known"])))
+    found = F.array(F.array_sort(term_hashes(body)))
+    both = F.transform(found, lambda own: F.struct(own.alias("own"), F.filter(own, lambda h: h.isin(terms)).alias("known")))
 
     def hashed(part: Column) -> Column:
         return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFF)).cast("int"))
@@ -66,22 +77,23 @@ def signature(body: Column, terms: list[int]) -> Column:
         parts = lambda part: F.transform(F.sequence(F.lit(0), F.lit(used - 1)), lambda c: hashed(F.filter(part, lambda h: place(h) == c)))
         return F.transform(inside, parts)[0]
 
-    shifts = [3 + 12 * i for i in range(len(LEVELS))]
-    return F.transform(chosen, lambda own: F.concat(*(level(own, c, u, s) for (c, u), s in zip(LEVELS, shifts, strict=True))))[0]
+    shifts = [3 + 12 * i for i in range(len(LEVELS) + 1)]
+    levels = lambda k: [*(level(k["known"], c, u, s) for (c, u), s in zip(LEVELS, shifts, strict=False)), level(k["own"], *ALL_TERMS, shifts[-1])]
+    return F.transform(both, lambda k: F.concat(*levels(k)))[0]
 
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1; see the module."""
     shares, at = [], 1
-    for _, used in LEVELS:
+    for _, used in (*LEVELS, ALL_TERMS):
         pairs = F.arrays_zip(F.slice(a, at, used).alias("x"), F.slice(b, at, used).alias("y"))
         shown = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
         same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-        shares.append((shown, same / F.when(shown > 0, shown)))
+        share = same / F.when(shown > 0, shown)
+        shares.append((share, F.when(shown >= FEW, share)))
         at += used
-    enough = F.greatest(*(F.when(shown >= FEW, share).otherwise(F.lit(None).cast("double")) for shown, share in shares))
-    any_level = F.coalesce(enough, *(share for _, share in shares))
-    return F.coalesce(any_level, F.lit(1.0)).cast("double")
+    best = F.greatest(*(enough for _, enough in shares[:-1]))
+    return F.coalesce(best, shares[-1][1], *(share for share, _ in shares), F.lit(1.0)).cast("double")
 
 
 def as_text(signature: str) -> Column:
