@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import near_copies, op3_lines, op5_decontaminate, op6_quality, op10_sentencepiece
+from flowscope.llm import op3_lines, op5_decontaminate, op6_quality, op8_simhash, op10_sentencepiece
 from flowscope.llm.common import table, with_row_number
 from flowscope.plans.registry import QUERIES, query
 from flowscope.session import scratch_path
@@ -47,10 +47,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (five-word shingles, likeness 0.8): the smallest id, of its rows the first; rows without an id come last."""
+    """One row of each component of the SimHash operator: the smallest id, of its rows the first; rows without an id come last."""
     rows, own, text = plain(docs)
     rows = with_row_number(rows, ROW)
-    first = near_copies.first_rows(rows.select(ROW, F.col(own).alias("id"), F.col(text).alias("body")))
+    first = op8_simhash.first_rows(rows, ROW, own, text)
     return rows.join(first, ROW, "left_semi").drop(ROW).toDF(*docs.columns)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import keyed_text, table
+from flowscope.llm.common import keyed_text, quoted, shuffle_parts, table
 from flowscope.plans.registry import query
 from flowscope.session import cut_lineage
 
@@ -120,12 +120,14 @@ def links_in_busy_buckets(members: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links among distinct fingerprints (column ``bits``) that keep every component connected: ``a`` < ``b``."""
-    keyed = cut_lineage(distinct.select("bits").mapInArrow(keys_of, "key long, bits long"))
+    # Fingerprints are few bytes before they multiply: left to itself, the planner puts them into a handful of tasks.
+    parts = shuffle_parts(distinct.sparkSession)
+    keyed = cut_lineage(distinct.select("bits").repartition(parts).mapInArrow(keys_of, "key long, bits long"))
     sizes = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     small = cut_lineage(keyed.join(sizes.where(f"n <= {BUCKET}"), "key", "left_semi"))
     pairs = small.select("key", F.col("bits").alias("a")).join(small.select("key", F.col("bits").alias("b")), "key")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
-    busy = keyed.join(sizes.where(f"n > {BUCKET}"), "key", "left_semi").select("bits").distinct()
+    busy = keyed.join(sizes.where(f"n > {BUCKET}"), "key", "left_semi").select("bits").distinct().repartition(parts)
     return pairs.unionByName(links_in_busy_buckets(busy)).distinct()
 
 
@@ -144,12 +146,28 @@ def component_labels(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
+def labelled_bits(docs: DataFrame) -> DataFrame:
+    """Distinct ``bits`` with the smallest ``doc`` that has them (``first``) and the ``label`` of their component."""
+    distinct = cut_lineage(docs.groupBy("bits").agg(F.min("doc").alias("first")))
+    labels = component_labels(links(distinct))
+    return distinct.join(labels, distinct["bits"] == labels["node"], "left").select("bits", "first", F.coalesce("label", "bits").alias("label"))
+
+
+def first_rows(df: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``row_col`` of each component's row that stays: the smallest id, of its rows the first; no id comes last.
+
+    ``row_col`` (long) is distinct. Copies are folded before anything is joined by component.
+    """
+    place = F.struct(quoted(id_col).isNull().alias("nameless"), quoted(id_col).cast("long").alias("id"), quoted(row_col).cast("long").alias("row"))
+    docs = df.select(place.alias("doc"), F.coalesce(quoted(text_col), F.lit("")).alias("body"))
+    found = docs.mapInArrow(fingerprints_of, "doc struct<nameless: boolean, id: long, row: long>, bits long")
+    return labelled_bits(found).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``doc``, ``bits``, ``component`` (smallest id that links reach)."""
     docs = cut_lineage(fingerprints(df, id_col, text_col))
-    distinct = cut_lineage(docs.groupBy("bits").agg(F.min("doc").alias("first")))
-    labels = component_labels(links(distinct))
-    labelled = cut_lineage(distinct.join(labels, distinct["bits"] == labels["node"], "left").select("bits", "first", F.coalesce("label", "bits").alias("label")))
+    labelled = cut_lineage(labelled_bits(docs))
     smallest = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("component")))
     known = cut_lineage(labelled.join(smallest, "label").select("bits", "component"))
     return docs.join(known, "bits").select("doc", "bits", "component")

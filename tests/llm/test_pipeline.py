@@ -65,3 +65,13 @@ def test_odd_documents(spark, documents, tmp_path):
 def test_names():
     assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "encoding"]
     assert op8_simhash.MAX_BITS == 2
+
+
+def test_near_duplicates_are_those_of_the_simhash_operator(spark, documents, tmp_path):
+    """Texts within two bits are one component though only half of their five-word shingles are common; the smallest id stays, of its rows the first."""
+    rows = [(9, "alpha beta"), (3, "ALPHA  beta"), (3, "alpha\nbeta"), (None, "alpha beta"), (7, "gamma " * 40), (8, "gamma " * 41 + "delta"), (None, "no id"), (4, None), (5, "")]
+    documents(rows).coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = P.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert op8_simhash.fingerprint(rows[4][1].encode()) == op8_simhash.fingerprint(rows[5][1].encode())
+    assert sorted((r.doc_id or 99, r.text) for r in got) == [(3, "ALPHA  beta"), (4, None), (7, "gamma " * 40), (99, "no id")]
