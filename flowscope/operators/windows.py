@@ -12,8 +12,11 @@ from flowscope.functions import entropy as E
 from flowscope.functions.columns import quoted
 from flowscope.operators.entropy import count_entropies
 from flowscope.operators.index import single_row, with_halo
+from flowscope.session import known_bytes
 
 DEFAULT_CHUNK = 8_192
+# Of the files below a table whose windows go to one task.
+WINDOW_BYTES = 2 << 20
 
 
 def histogram_bin(x: Column, bins: int = 50) -> Column:
@@ -157,7 +160,11 @@ def tumbling_entropy(
     pairs = F.array(
         *[F.struct(F.lit(i).alias("feature"), F.col(f"_f{i}").alias("value")) for i in range(len(features))]
     )
-    long = placed.repartition("window_id").select("window_id", F.inline(pairs))
+    # A task holds the counts of all its windows. Left to the session's number of partitions, they would grow with the table.
+    parts = -(-known_bytes(df) // WINDOW_BYTES)
+    enough = parts <= df.sparkSession.sparkContext.defaultParallelism
+    placed = placed.repartition("window_id") if enough else placed.repartition(parts, "window_id")
+    long = placed.select("window_id", F.inline(pairs))
     counts = (
         long.filter(F.col("value").isNotNull())
         .groupBy("window_id", "feature", "value")
