@@ -1,7 +1,7 @@
 """Sliding histogram entropy per entity on a stream: a stateful operator, and micro-batches of windows.
 
 The stateful operator has the lowest latency and keeps one entity's rows of a micro-batch in one
-task. The micro-batch form splits a hot entity over tasks by position chunks and suits batches in
+task, together with those of its bucket. The micro-batch form splits a hot entity over tasks by position chunks and suits batches in
 which one entity may hold a large share of the rows.
 """
 
@@ -44,31 +44,41 @@ def sliding_entropies(codes: np.ndarray, window: int, bins: int, skip: int) -> n
 
 
 class SlidingEntropy(StatefulProcessor):
-    """State per entity: the bins of the last ``window - 1`` rows, nothing else."""
+    """State per bucket of entities: the bins of the last ``window - 1`` rows of each entity, nothing else."""
 
     def __init__(self, columns: Sequence[str], window: int, bins: int, order: Sequence[str], kept: Sequence[str]):
-        # Column 0 is the entity, the last one the bin.
+        # Column 0 is the bucket, column 1 the entity as a string, the last one the bin.
         self.columns, self.window, self.bins = list(columns), window, bins
         self.order, self.kept = list(order), list(kept)
 
     def init(self, handle) -> None:
-        schema = T.StructType([T.StructField("recent", T.ArrayType(T.IntegerType()))])
+        schema = T.StructType().add("entities", T.ArrayType(T.StringType())).add("ends", T.ArrayType(T.IntegerType())).add("recent", T.ArrayType(T.IntegerType()))
         self.recent = handle.getValueState("recent", schema)
 
     def handleInputRows(self, key, rows, timerValues):
-        # The rows of one entity in one micro-batch; their number is bounded by the trigger.
+        # The rows of one bucket in one micro-batch; their number is bounded by the trigger.
         frame = pd.concat(list(rows), ignore_index=True)
         frame.columns = self.columns
-        frame = frame.sort_values(self.order, kind="stable")
-        known = self.recent.get() if self.recent.exists() else None
-        before = np.array(known[0] if known is not None else [], dtype=np.int64)
+        known = self.recent.get() if self.recent.exists() else ([], [], [])
+        entities, ends, before = list(known[0]), np.array(known[1], dtype=np.int64), np.array(known[2], dtype=np.int64)
+        number = {e: i for i, e in enumerate(entities)}
+        found = [None if pd.isna(e) else e for e in frame[self.columns[1]]]
+        frame["_number"] = [number.setdefault(e, len(number)) for e in found]
+        frame = frame.sort_values(["_number", *self.order], kind="stable")
+        # The tail of each entity, then its new rows.
+        of = np.concatenate([np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), frame["_number"].to_numpy(dtype=np.int64)])
         codes = np.concatenate([before, frame[self.columns[-1]].to_numpy(dtype=np.int64)])
-        values = sliding_entropies(codes, self.window, self.bins, len(before))
-        keep = codes[max(0, len(codes) - self.window + 1) :] if self.window > 1 else codes[:0]
-        self.recent.update((keep.astype(int).tolist(),))
-        out = frame[self.kept].copy()
-        out.insert(0, self.columns[0], key[0])
-        out["entropy"] = values
+        line = np.argsort(of, kind="stable")
+        of, codes = of[line], codes[line]
+        sizes = np.bincount(of, minlength=len(number))
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(of)) - first[of]
+        values = np.where(place >= self.window - 1, sliding_entropies(codes, self.window, self.bins, 0), np.nan)
+        keep = place >= sizes[of] - (self.window - 1)
+        left = np.bincount(of[keep], minlength=len(number))
+        self.recent.update((list(number), left.cumsum().astype(int).tolist(), codes[keep].astype(int).tolist()))
+        out = frame[[self.columns[1], *self.kept]].copy()
+        out["entropy"] = values[line >= len(before)]
         yield out
 
     def close(self) -> None:
@@ -83,21 +93,27 @@ def stream_sliding_entropy(
     kept: Sequence[str],
     window: int = 256,
     bins: int = 50,
+    buckets: int = 1_024,
 ) -> DataFrame:
     """``(entity, kept..., entropy)`` per row of a stream; null until an entity has ``window`` rows.
 
-    Rows of an entity are taken in ``order`` inside a micro-batch. State lives in RocksDB.
+    Rows of an entity are taken in ``order`` inside a micro-batch. State lives in RocksDB, by ``buckets`` of entities that are
+    worked on at once: a call for each entity costs far more than its rows. A stream that goes on keeps the number of buckets.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    columns = list(dict.fromkeys([*order, *kept]))
-    rows = stream.select(quoted(entity), *[quoted(c) for c in columns if c != entity], histogram_bin(quoted(value), bins).cast("int").alias("_bin"))
+    columns = [c for c in dict.fromkeys([*order, *kept]) if c != entity]
+    rows = stream.select(
+        F.pmod(F.xxhash64(quoted(entity)), F.lit(buckets)).alias("_bucket"), quoted(entity).cast("string").alias("_entity"),
+        *[quoted(c) for c in columns], histogram_bin(quoted(value), bins).cast("int").alias("_bin"),
+    )
     types = {f.name: f.dataType for f in rows.schema}
-    schema = T.StructType([T.StructField(entity, types[entity])])
+    schema = T.StructType().add("_entity", T.StringType())
     for c in kept:
         schema = schema.add(c, types[c])
     schema = schema.add("entropy", T.DoubleType())
-    processor = SlidingEntropy(rows.columns, window, bins, order, kept)
-    return rows.groupBy(entity).transformWithStateInPandas(processor, schema, "append", "none")
+    processor = SlidingEntropy(rows.columns, window, bins, [c for c in order if c != entity], kept)
+    out = rows.groupBy("_bucket").transformWithStateInPandas(processor, schema, "append", "none")
+    return out.select(F.col("_entity").cast(stream.schema[entity].dataType).alias(entity), *map(quoted, kept), "entropy")
 
 
 def batch_sliding_entropy(
