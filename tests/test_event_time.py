@@ -68,3 +68,41 @@ def test_idle_entities_leave_no_state(spark, tmp_path):
     for name in ("recent", "last"):
         left = spark.read.format("statestore").option("stateVarName", name).load(state)
         assert "gone" not in {r.key[0] for r in left.select("key").collect()}
+
+
+def test_a_call_serves_a_bucket_of_entities(spark, tmp_path):
+    """Numbers as entities, a null one and rows without a time; the state has one row per bucket, not per entity."""
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    rng = np.random.default_rng(5)
+    rows = [
+        (None if i % 50 == 0 else i % 50, None if i % 97 == 0 else START + dt.timedelta(minutes=i // 4), i, f"n{i}", float(rng.random()))
+        for i in range(2_000)
+    ]
+    df = spark.createDataFrame(rows, "e long, t timestamp, i long, name string, x double").cache()
+    write(df, path, 0, 900)
+    write(df, path, 900, 10_000)
+    stream = S.read_stream(spark, path, df.schema, "*.parquet")
+    found = event_time_entropy(stream, "e", "x", "t", ["i"], ["i", "name"], "30 minutes", 60_000 * 600, 16, buckets=3)
+    assert found.dtypes == [("e", "bigint"), ("i", "bigint"), ("name", "string"), ("entropy", "double")]
+    out, _ = S.drain(found, "ordered", sink=str(tmp_path / "out"), state=state)
+    assert out.where("e is null").count() > 0
+    timed = df.where("t is not null").fillna(-1, ["e"])
+    same(out.fillna(-1, ["e"]), expected(timed, START + dt.timedelta(minutes=1_999 // 4 - 30)))
+    assert out.where("name = concat('n', i)").count() == out.count()
+    for name in ("recent", "last"):
+        left = spark.read.format("statestore").option("stateVarName", name).load(state)
+        assert 0 < left.count() <= 3
+
+
+def test_idle_entities_leave_a_bucket(spark, tmp_path):
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    early = [(f"gone{i % 2}", START + dt.timedelta(minutes=i), i, 0.5) for i in range(20)]
+    late = [("here", START + dt.timedelta(hours=9, minutes=i), 100 + i, 0.5) for i in range(20)]
+    for rows in (early, late):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = S.read_stream(spark, path, spark.read.parquet(path).schema, "*.parquet")
+    found = event_time_entropy(stream, "e", "x", "t", ["i"], ["i"], "5 minutes", 60_000 * 60, 16, buckets=1)
+    out, _ = S.drain(found, "ordered", state=state)
+    assert out.where("e like 'gone%'").count() == 20 and out.where("e = 'here'").count() == 15
+    held = spark.read.format("statestore").option("stateVarName", "recent").load(state).select("value.entities").first()
+    assert held.entities == ["here"]
