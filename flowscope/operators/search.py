@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.functions.columns import quoted
+from flowscope.operators import assign as A
 from flowscope.operators import mixture as M
 from flowscope.operators import quality as Q
 from flowscope.operators.fit import lloyd
@@ -184,10 +185,10 @@ def swarm_centroids(
     ``linear`` lets the inertia fall from 0.9 to 0.4 (own 1.5, best 1.7) and scores by the composite;
     ``fixed`` uses inertia 0.9, own 0.7, best 0.5 and scores by the silhouette alone.
     """
-    data = spread(df.select(quoted(features).alias("features"))).persist()
+    data = spread(A.pack(df, features)).persist()
     try:
-        dims = len(data.first()["features"])
-        low, high = feature_box(data, "features", dims)
+        dims = A.first_dimensions(df, features)
+        low, high = feature_box(df, features, dims)
 
         def evaluate(positions: np.ndarray) -> np.ndarray:
             table = Q.score_population(data, positions.reshape(-1, k, dims))
@@ -228,7 +229,8 @@ def bee_colony(
     ``davies_bouldin`` a set is better in the order DB, silhouette, CH; with
     ``calinski_harabasz`` proposals are first refined by K-means and CH decides.
     """
-    data = spread(df.select(*[quoted(i) for i in ids], quoted(features).alias("features"))).persist()
+    source = df.select(*[quoted(i) for i in ids], quoted(features).alias("features"))
+    data = spread(A.pack(df, features)).persist()
     rng = np.random.default_rng(seed)
     by_ch = fitness == "calinski_harabasz"
     if not by_ch and fitness != "davies_bouldin":
@@ -244,7 +246,7 @@ def bee_colony(
         return sets, table.to_dict("records")
 
     def draw(count: int, round_seed: int) -> np.ndarray:
-        rows = draw_seeds(data, k, ids, count, round_seed).select("candidate", "seed_no", "features").collect()
+        rows = draw_seeds(source, k, ids, count, round_seed).select("candidate", "seed_no", "features").collect()
         sets = np.zeros((count, k, len(rows[0]["features"])))
         for r in rows:
             sets[r["candidate"], r["seed_no"]] = r["features"]
@@ -319,19 +321,20 @@ def swarm_mixture_means(
 
     Every particle runs ``short`` EM steps; all particles take each step in the same job.
     """
-    data = spread(df.select(quoted(features).alias("features"), quoted(label).alias("y"))).persist()
+    data = spread(A.pack(df, features, label)).persist()
     try:
-        dims = len(data.first()["features"])
-        low, high = feature_box(data, "features", dims)
+        dims = A.first_dimensions(df, features)
+        low, high = feature_box(df, features, dims)
+        spreads = M.column_variances(df, dims, features)
 
         def evaluate(positions: np.ndarray) -> np.ndarray:
-            fitted = M.fit_mixtures(data, positions.reshape(-1, k, dims), short, 1e-3, label="y")
+            fitted = M.fit_mixtures(data, positions.reshape(-1, k, dims), short, 1e-3, spreads=spreads)
             return purity_loss(fitted.attacks, fitted.sizes, theta, min_share=0.05)
 
         result = swarm(
             evaluate, np.tile(low, k), np.tile(high, k), particles, iterations, 0.8, 1.5, 1.5, seed=seed
         )
-        final = M.fit_mixtures(data, result.position.reshape(1, k, dims), long, 1e-4, label="y")
+        final = M.fit_mixtures(data, result.position.reshape(1, k, dims), long, 1e-4, spreads=spreads)
     finally:
         data.unpersist()
     return final, result
@@ -352,13 +355,14 @@ def swarm_feature_weights(
 
     ``means`` (K, D) start the mixture of every particle in unweighted units.
     """
-    data = spread(df.select(quoted(features).alias("features"), quoted(label).alias("y"))).persist()
+    data = spread(A.pack(df, features, label)).persist()
     base = np.asarray(means, dtype=float)
     dims = base.shape[1]
+    spreads = M.column_variances(df, dims, features)
 
     def fitted(weights: np.ndarray, steps: int) -> M.Mixtures:
         starts = base[None] * weights[:, None, :]
-        return M.fit_mixtures(data, starts, steps, 1e-3, label="y", scales=weights)
+        return M.fit_mixtures(data, starts, steps, 1e-3, scales=weights, spreads=spreads)
 
     try:
 
