@@ -66,3 +66,19 @@ def test_searches_keep_blocks(rows, monkeypatch):
     S.bee_colony(df, 3, ["id"], bees=2, iterations=1, limit=1)
     S.swarm_mixture_means(df, "y", 2, 3, 1, short=1, long=2)
     assert len(seen) > 6 and all(seen)
+
+
+def test_a_row_without_a_label_is_no_attack(spark):
+    df = spark.createDataFrame([([float(i)], None if i % 2 else 1) for i in range(40)], "features array<double>, y int").repartition(4)
+    found = M.fit_mixtures(A.pack(df, "features", "y"), np.array([[[5.0], [30.0]]]), 2, spreads=M.column_variances(df, 1))
+    assert found.attacks.sum() == 20 and found.sizes.sum() == 40
+
+
+def test_full_mixture_goes_on_as_sparks(rows):
+    df, _ = rows
+    vectors = K.with_vector(df)
+    of = lambda n: K.GaussianMixture(k=3, maxIter=n, seed=1, featuresCol="_vec").fit(vectors)
+    parts = lambda m: (np.array(m.weights), *(np.array([g[c].toArray() for g in m.gaussiansDF.collect()]) for c in ("mean", "cov")))
+    found = M.fit_full(A.pack(df), *parts(of(0)), 3)
+    for a, b in zip(found, parts(of(3)), strict=True):
+        assert np.allclose(a, b, rtol=1e-6)
