@@ -34,6 +34,21 @@ def test_fit_whole_spreads(grown_table, monkeypatch):
     assert seen == [(-(-S.known_bytes(grown_table) // S.BYTES_PER_PART), ["x", "y"])]
 
 
+def test_checkpointed_tables(grown_table, monkeypatch):
+    kept = S.cut_lineage(grown_table)
+    written = S.known_bytes(kept)
+    assert S.BYTES_PER_PART // 8 < written < 8 * S.known_bytes(grown_table)
+    monkeypatch.setattr(S, "BYTES_PER_PART", 1 + written // 7)
+    assert S.spread(kept, 1).rdd.getNumPartitions() == 7
+    # What made a checkpoint says nothing of its size: the guess here is the product of two tables.
+    joined = S.cut_lineage(grown_table.join(grown_table.select(F.col("id").alias("i")), F.col("id") == F.col("i")).where("id < 10"))
+    assert S.spread(joined, 1).rdd.getNumPartitions() == 1
+    seen = []
+    monkeypatch.setattr(M, "fit_classifier", lambda rows, *_: seen.append(rows.rdd.getNumPartitions()))
+    M.fit_whole(kept, ["x"], "y", None)
+    assert 1 < seen[0] <= 7
+
+
 def test_windows(grown_table):
     out = W.tumbling_entropy(grown_table, "id", ["x"], window=100, metrics=["shannon"], as_type="bigint")
     parts = -(-S.known_bytes(grown_table) // W.WINDOW_BYTES)
