@@ -10,6 +10,7 @@ from flowscope.operators import mixture as M
 from flowscope.operators import quality as Q
 from flowscope.operators import reward as W
 from flowscope.operators import search as S
+from flowscope.plans import workflows
 from flowscope.session import local_session  # noqa: F401
 
 
@@ -236,3 +237,36 @@ def test_outliers_are_found(spark):
     assert {r["id"] for r in out.filter("is_outlier").collect()} >= {400, 401, 402, 403}
     row = I.removal_counts(out).first()
     assert row["n_before"] == 404 and row["n_removed"] <= 5
+
+
+def test_isolation_paths_follow_the_nodes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    x[7, 1], x[8, 2] = np.nan, np.inf
+    trees = [tuple(map(np.array, I._grow(rng.normal(size=(40, 3)), rng, 6))) for _ in range(9)]
+
+    def length(row, tree):
+        feature, cut, left, right, path = tree
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] if row[feature[node]] <= cut[node] else right[node]
+        return path[node]
+
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, features array<double>").repartition(3)
+    found = {r["id"]: r["anomaly"] for r in I.Forest(trees, 5.0, 6).score(df).collect()}
+    for i, row in enumerate(x):
+        assert found[i] == pytest.approx(2.0 ** -(np.mean([length(row, t) for t in trees]) / 5.0), rel=1e-12)
+    assert I.Forest(trees, 5.0, 6).score(df.limit(0)).count() == 0
+
+
+def test_exploration_fits_each_number_of_clusters_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, *(float(v) for v in rng.normal(8.0 * (i % 3), 1.0, 3)), "DDoS" if i % 3 else "Benign") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, Label string")
+    fits, plain = [], K.best_kmeans
+    monkeypatch.setattr(K, "best_kmeans", lambda data, k, *rest: fits.append(k) or plain(data, k, *rest))
+    out = workflows.explore_clusters(df, ["a", "b", "c"], "Label", ["id"], F.col("Label") == "DDoS", bags=2, ks=range(2, 4), max_iter=20)
+    assert fits == [3, 2, 3]
+    sizes = sorted(r["total"] for r in out["purity"].collect())
+    best = out["sweep"].where("best").first()
+    assert len(sizes) == best["k"] and sum(sizes) == out["outliers"].first()["n_before"] - out["outliers"].first()["n_removed"]
