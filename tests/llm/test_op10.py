@@ -1,6 +1,8 @@
+import hashlib
 from itertools import pairwise
 from math import exp, expm1, log
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -112,6 +114,19 @@ def test_whole_table(spark, sf_dir):
     assert log(len(rows)) > log(2 * n)
 
 
+def test_query_gives_ids_and_decoded_texts(spark, documents, tmp_path):
+    """The segmentations themselves, not only their digests, and what they decode to."""
+    rows = [(1, "the same, twice"), (1, "the same, twice"), (2, ""), (3, None), (4, "日本 some a\x00é\n"), (None, "no id 😀")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = entry.queries()["op10_sentencepiece"](spark, str(tmp_path)).collect()
+    with open(PATH, "rb") as f:
+        pieces = S.Pieces(f.read())
+    assert len(out) == 4 * 3 + 2
+    for r in out:
+        assert r.decodes and r.decoded == (dict(rows)[r.doc_id] or "") == pieces.decoded(list(r.ids))
+        assert r.n_pieces == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+
+
 def test_defined_cases(spark, documents):
     long = "words in a long text, " * 9_000
     rows = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "x"), (4, long), (5, "nospace" * 3_000), (6, "\x00 tab\t▁ mark")]
